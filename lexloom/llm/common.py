@@ -63,7 +63,7 @@ def text_key(text: Column) -> Column:
 
 def share_threshold(share: float) -> int:
     """``xxhash64(x)`` is at most this for about ``share`` of all ``x``."""
-    return int(-(2**63) + min(1.0, max(0.0, share)) * (2**64 - 1))
+    return min(2**63 - 1, -(2**63) + int(min(1.0, max(0.0, share)) * 2**64))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
