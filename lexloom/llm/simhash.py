@@ -90,7 +90,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     a, b = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(diff) <= distance)
-    return a.join(b, "key").where(near & (_first_variant(diff) == F.shiftright(F.col("key"), SEGMENT_BITS).cast("long"))).select("a", "b")
+    # the size of an exploded index is badly estimated: never let it be broadcast
+    return a.hint("merge").join(b, "key").where(near & (_first_variant(diff) == F.shiftright(F.col("key"), SEGMENT_BITS).cast("long"))).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
