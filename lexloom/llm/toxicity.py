@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary texts, count expressions at several levels: word pairs, words,
-and the beginnings of words (6, 5 and 4 letters), the lower levels by Kneser-Ney continuation counts,
-that is by the number of different histories, so that copies of a text count once. Discounted counts
+and the beginnings of words (6, 5 and 4 letters), all by Kneser-Ney continuation counts, that is by
+the number of different histories, so that copies of a text count once. Discounted counts
 of each class are interpolated with counts of both classes together.
 
 An expression whose counts don't differ between the classes beyond chance (a likelihood-ratio test,
-stricter the more expressions there are) is too rare to be judged by itself: it falls back to the
+stricter the more expressions there are), or hardly differ, isn't judged by itself: it falls back to the
 next lower level, and in the end to the counts that the classes share, where the likelihoods are
 equal. A document's evidence is the mean difference of its words' log-likelihoods under the two
 models; a logistic function, fitted on rows that the models haven't seen, turns it into a score.
@@ -33,6 +33,8 @@ TRAIN_BYTES = 8_000_000
 TRAIN_TEXT = 1_000_000
 #: Letters of the beginnings of words that are levels of their own, longest first.
 BEGINNINGS = (6, 5, 4)
+#: Least difference of log-likelihoods for an expression to be judged by itself.
+LEAST_RATIO = 1.0
 #: Words that a worker remembers.
 REMEMBERED = 500_000
 _START = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +79,11 @@ def _divergence(a: np.ndarray, b: np.ndarray, all_a: float, all_b: float) -> np.
     return out
 
 
+def _damped(evidence):
+    """Evidence on a scale on which a text full of toxic words isn't far from one with some."""
+    return np.log1p(np.maximum(evidence, 0.0) / 0.01)
+
+
 class Level:
     """Log-likelihood differences of the expressions of one level that the classes differ in."""
 
@@ -91,8 +98,9 @@ class Level:
             once, twice = float((n[c] == 1).sum()), float((n[c] == 2).sum())
             cut = np.maximum(n[c] - (once / (once + 2 * twice) if once else 0.5), 0.0)
             p[c] = cut / total[c] + (1 - cut.sum() / total[c]) * shared
-        differ = _divergence(n[0], n[1], total[0], total[1]) > 8 + 2 * np.log(max(2, len(keys)))
-        self.keys, self.ratio = keys[differ], np.log(p[0, differ] / p[1, differ])
+        ratio = np.log(p[0] / p[1])
+        differ = (_divergence(n[0], n[1], total[0], total[1]) > 8 + 2 * np.log(max(2, len(keys)))) & (np.abs(ratio) >= LEAST_RATIO)
+        self.keys, self.ratio = keys[differ], ratio[differ]
 
     def table(self) -> dict[int, float]:
         return dict(zip(self.keys.tolist(), self.ratio.tolist()))
@@ -139,9 +147,13 @@ class Ratio:
         if not streams:
             return [(np.zeros(0, np.uint64), np.zeros(0))] * (2 + len(BEGINNINGS))
         word = np.concatenate(streams)
-        pairs, pick, n = np.unique(np.concatenate([_pairs(hashes[s]) for s in streams]), return_index=True, return_counts=True)
+        pair = [_pairs(hashes[s]) for s in streams]
+        triple = np.concatenate([_pairs(x) for x in pair])  # a pair with the pair before it
+        _, first = np.unique(triple, return_index=True)
+        pair = np.concatenate(pair)
+        _, pick = np.unique(pair, return_index=True)
         histories = np.bincount(word[pick], minlength=len(names)).astype(float)
-        out = [(pairs, n.astype(float)), _sum_by(hashes, histories)]
+        out = [_sum_by(pair[first], np.ones(len(first))), _sum_by(hashes, histories)]
         for size in BEGINNINGS:
             first = np.array([_beginning(w, size) for w in names], dtype=np.uint64)
             out.append(_sum_by(first[first != 0], histories[first != 0]))
@@ -173,8 +185,9 @@ class Ratio:
 
     def calibrate(self, evidence: np.ndarray, label: np.ndarray) -> None:
         """Fit the logistic function by damped Newton steps, slightly regularised."""
-        scale = float(np.std(evidence)) or 1.0
-        x = np.stack((evidence / scale, np.ones(len(evidence))), axis=1)
+        value = _damped(evidence)
+        scale = float(np.std(value)) or 1.0
+        x = np.stack((value / scale, np.ones(len(value))), axis=1)
         b = np.zeros(2)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
@@ -186,7 +199,7 @@ class Ratio:
         self.slope, self.shift = float(b[0] / scale), float(b[1])
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.evidence(words_of(text)) + self.shift
+        z = self.slope * float(_damped(self.evidence(words_of(text)))) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
