@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import written
+
 #: Rows that one block holds on average at most.
 BLOCK_ROWS = 50_000
 #: Bytes that a row counts besides its text.
@@ -90,8 +92,10 @@ def shard_hilbert(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_rows: int = BLOCK_ROWS,
+    whole: bool = False,
 ) -> DataFrame:
-    """One row per document: ``id_col``, size, text_crc32, cell (curve index), shard, slot.
+    """One row per document: ``id_col``, size, text_crc32, cell (curve index), shard, slot; with
+    ``whole`` behind the columns of ``docs`` themselves, of which those with these names give way.
 
     Shards hold nearly equal bytes: a document goes where the middle of its bytes falls, so a shard
     is off its share by less than the largest document. A null text is of size 16 with crc32 null; a
@@ -117,14 +121,16 @@ def shard_hilbert(
         (F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         *[F.when(c.isNull(), 0).otherwise(cell(i, c)).alias(f"c{i}") for i, c in enumerate(codes)],
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     parts = max(1, -(-total_rows // block_rows))
     base = base.withColumn("cell", hilbert_index([F.col(f"c{i}") for i in range(len(dims))], bits))
-    base = base.withColumn("tie", F.xxhash64("crc", "size"))
+    base = base.withColumn("tie", F.xxhash64("id", "crc", "size"))
     # the part follows the order of the tie, so blocks are runs of one total order
-    base = base.select("id", "size", "crc", "cell", "tie", F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * parts).cast("long").alias("part"))
+    base = base.select("row", "id", "size", "crc", "cell", "tie", F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * parts).cast("long").alias("part"))
 
-    blocks = base.groupBy("cell", "part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
+    slim = written(base.drop("row"), "shards")  # texts are read once for all but the rows themselves
+    blocks = slim.groupBy("cell", "part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
     cells = blocks.groupBy("cell").agg(F.sum("b").alias("cb"), F.sum("r").alias("cr"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** (bits * dims) rows
     everything = Window.partitionBy(F.lit(0))
@@ -144,16 +150,17 @@ def shard_hilbert(
         (F.col("cell_r") + F.coalesce(F.sum("r").over(inside), zero)).alias("off_r"),
     )
     run = Window.partitionBy("cell", "part").orderBy("tie", "crc", "id", "size")
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    placed = base.join(blocks.hint("shuffle_hash"), ["cell", "part"]).select(
-        "id",
-        "size",
-        "crc",
-        "cell",
-        (F.col("off_r") + F.row_number().over(run) - 1).alias("rank"),
-        # twice the middle of the row's bytes, in whole numbers
-        F.least(F.lit(shards - 1), F.expr(f"cast(((2 * (off_b + sum(size) over (partition by cell, part order by tie, crc, id, size rows unbounded preceding)) - size) * {shards}) div (2 * all_b) as int)")).alias("shard"),
-    )
-    firsts = placed.groupBy("shard").agg(F.min("rank").alias("first"))  # one row per shard
-    out = placed.join(F.broadcast(firsts), "shard")
-    return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "cell", "shard", (F.col("rank") - F.col("first")).alias("slot"))
+    # twice the middle of the row's bytes, in whole numbers
+    middle = 2 * (F.col("off_b") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0))) - F.col("size")
+
+    def placed(rows: DataFrame, keep: list[str]) -> DataFrame:
+        at = rows.join(blocks.hint("shuffle_hash"), ["cell", "part"]).select(*keep, "id", "size", "crc", "cell", (F.col("off_r") + F.row_number().over(run) - 1).alias("rank"), middle.alias("middle"), "all_b")
+        return at.select(*keep, "id", "size", "crc", "cell", "rank", F.least(F.lit(shards - 1), F.expr(f"cast((middle * {shards}) div (2 * all_b) as int)")).alias("shard"))
+
+    firsts = placed(slim, []).groupBy("shard").agg(F.min("rank").alias("first"))  # one row per shard
+    out = placed(base if whole else slim, ["row"] if whole else []).join(F.broadcast(firsts), "shard")
+    made = {"size": F.col("size"), "text_crc32": F.col("crc"), "cell": F.col("cell"), "shard": F.col("shard"), "slot": F.col("rank") - F.col("first")}
+    if not whole:
+        return out.select(F.col("id").alias(id_col), *[c.alias(n) for n, c in made.items()])
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
+    return out.select(*kept, *[c.alias(n) for n, c in made.items()])

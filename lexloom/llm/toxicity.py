@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -252,3 +253,14 @@ def score(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str =
     columns = list(dict.fromkeys([id_col, *keep]))
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{name}` double"])
     return docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Ratio, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score reaches ``limit``; only texts pass through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def value(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shared.value.score(t))
+
+    return docs.where(value(F.col(f"`{text_col}`")) < limit)
