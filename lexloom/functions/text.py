@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Where str.splitlines breaks, and where bytes.splitlines does.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 BYTE_LINE_BREAK = r"\r\n|[\n\r]"
 #: What str.split and str.strip take as white space, and what bytes.split does.
-SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0  -     　]"
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BYTE_SPACE = r"[\x09-\x0d\x20]"
 
 

@@ -1,9 +1,438 @@
-"""Registered queries of the corpus operators."""
+"""Registered queries of the corpus operators over the driver's tables.
+
+Stand-ins: a document's location is its source, its date 2024-01-01 plus doc_id modulo 30 days, its
+content the text; documents are ordered by doc_id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexloom.functions import hashing, text
+from lexloom.operators import align, annotate, cleaner, files, lani, mwu, segmenter, stats, tokenizer, vocabulary
+from lexloom.sources import sentences as sent_io
+from lexloom.sources import source_docs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+KEY = ["doc_id", "sent_ord"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def day() -> Column:
+    return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd")
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, location, date, content."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("location"), day().alias("date"), F.col("text").alias("content"), *more)
+
+
+def line_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, location, date, sent_ord, sentence: the lines of all documents."""
+    docs = documents(spark, sf_dir, *more)
+    return docs.select("doc_id", "location", "date", *more, F.posexplode(text.lines(F.col("content"))).alias("sent_ord", "sentence"))
+
+
+def tokenized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines with their simple tokens."""
+    rows = line_rows(spark, sf_dir).where("sentence != ''")
+    rows = rows.withColumn("tokenized", F.array_join(tokenizer.simple_tokens(F.col("sentence")), " "))
+    return rows.withColumn("sent_id", F.col("doc_id") * 1_000_000 + F.col("sent_ord"))
+
+
+def known_words(spark: SparkSession) -> tuple[int, DataFrame]:
+    rows = [(1, "."), (2, ","), (3, "the"), (4, "!"), (7, "?"), (9, "de"), (12, "unseen")]
+    return 13, spark.createDataFrame(rows, "known_id long, word string")
+
+
+def rules() -> list[cleaner.Rule]:
+    return cleaner.load_rules()
+
+
+# lines and sentences
+
+
+@query
+def lines_flatten(spark, sf_dir):
+    return line_rows(spark, sf_dir).select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), "sentence")
+
+
+@query
+def lines_renest(spark, sf_dir):
+    """Flat lines nested again, without losing order; equal to the text but for a final break."""
+    rows = line_rows(spark, sf_dir)
+    nested = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_ord", "sentence"))).alias("s"))
+    return nested.select("doc_id", F.array_join(F.transform("s", lambda x: x["sentence"]), "\n").alias("content"))
+
+
+@query
+def medusa_rows(spark, sf_dir):
+    rows = line_rows(spark, sf_dir).where("sentence != ''")
+    return rows.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), sent_io.medusa_line(F.col("sentence"), F.col("date"), F.col("location")).alias("line"))
+
+
+@query
+def jsonl_doc(spark, sf_dir):
+    """Documents written as JSON and parsed again."""
+    made = sent_io.document_json(documents(spark, sf_dir))
+    parsed = F.from_json("line", "location string, date string, content string")
+    return made.select("doc_id", parsed.alias("d")).select("doc_id", "d.location", "d.date", "d.content")
+
+
+@query
+def jsonl_sentences(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("sentences", text.lines(F.col("content")))
+    parsed = sent_io.sentences_json(docs).select("doc_id", F.from_json("line", "location string, date string, sentences array<string>").alias("d"))
+    return parsed.select("doc_id", "d.location", "d.date", F.size("d.sentences").cast("long").alias("n"), F.array_join("d.sentences", "\n").alias("joined"))
+
+
+@query
+def source_text_rows(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", source_docs.source_text(F.col("location"), F.col("date"), F.col("content")).alias("doc"))
+
+
+@query
+def source_headers(spark, sf_dir):
+    """Which lines of the rendered documents are headers."""
+    rendered = documents(spark, sf_dir).select("doc_id", source_docs.source_text(F.col("location"), F.col("date"), F.col("content")).alias("doc"))
+    rows = rendered.select("doc_id", F.explode(text.lines(F.col("doc"))).alias("line"))
+    return rows.groupBy(source_docs.is_header_column(F.col("line")).alias("header")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# cleaner
+
+
+@query
+def clean_survivors(spark, sf_dir):
+    kept = cleaner.clean(line_rows(spark, sf_dir), rules())
+    return kept.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("chars"))
+
+
+@query
+def clean_first_rule(spark, sf_dir):
+    rows = line_rows(spark, sf_dir)
+    return rows.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), cleaner.first_rule(F.col("sentence"), rules()).alias("rule"))
+
+
+@query
+def clean_rule_hits(spark, sf_dir):
+    return cleaner.rule_hits(line_rows(spark, sf_dir), rules(), first_only=False)
+
+
+@query
+def clean_first_rule_hits(spark, sf_dir):
+    return cleaner.rule_hits(line_rows(spark, sf_dir), rules())
+
+
+@query
+def clean_reasons_array(spark, sf_dir):
+    rows = line_rows(spark, sf_dir).where("sentence != ''")
+    return rows.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), F.array_join(cleaner.reasons(F.col("sentence"), rules()).cast("array<string>"), " ").alias("reasons"))
+
+
+@query
+def clean_layered_override(spark, sf_dir):
+    """Rules of a language that replace general ones, on the rows of that text."""
+    layered = cleaner.load_rules(text_type="web", lang_code="fas")
+    kept = cleaner.clean(line_rows(spark, sf_dir), layered)
+    return kept.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sentence")).cast("long").alias("longest"))
+
+
+@query
+def clean_nested(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("sentences", text.lines(F.col("content")))
+    kept = cleaner.clean_arrays(docs, rules())
+    return kept.select("doc_id", F.size("sentences").cast("long").alias("n"), F.when(F.size("sentences") > 0, F.array_join("sentences", "\n")).alias("content"))
+
+
+@query
+def clean_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(text.lines(F.col("text"))).alias("sent_ord", "sentence"))
+    kept = cleaner.clean(rows, rules())
+    return kept.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def page_web_rules(spark, sf_dir):
+    """Rejections of the web layer on the lines of raw pages."""
+    layered = cleaner.load_rules(text_type="web")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(text.lines(F.col("html"))).alias("sentence"))
+    return cleaner.rule_hits(rows, layered, first_only=False)
+
+
+@query
+def replace_entities(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", cleaner.replaced(F.col("html"), cleaner.load_replacements()).alias("html"))
+
+
+@query
+def annotate_filtered(spark, sf_dir):
+    done = annotate.annotate_cleaning(line_rows(spark, sf_dir).where("sentence != ''"), rules())
+    return done.groupBy("filtered").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("filter_reasons")).alias("reasons"))
+
+
+# statistics
+
+
+@query
+def doc_stats(spark, sf_dir):
+    return stats.document_stats(documents(spark, sf_dir))
+
+
+@query
+def doc_stats_by_source(spark, sf_dir):
+    return stats.document_stats(documents(spark, sf_dir), by=["location"]).drop("sources", "source_dates")
+
+
+@query
+def doc_stats_tsv(spark, sf_dir):
+    return stats.stats_tsv(stats.document_stats(documents(spark, sf_dir)))
+
+
+@query
+def sentence_stats(spark, sf_dir):
+    return stats.sentence_stats(line_rows(spark, sf_dir))
+
+
+# words
+
+
+@query
+def word_freq(spark, sf_dir):
+    return vocabulary.word_frequencies(tokenized_rows(spark, sf_dir))
+
+
+@query
+def word_numbers(spark, sf_dir):
+    return vocabulary.word_numbers(vocabulary.word_frequencies(tokenized_rows(spark, sf_dir)))
+
+
+@query
+def source_numbers(spark, sf_dir):
+    return vocabulary.source_numbers(tokenized_rows(spark, sf_dir))
+
+
+@query
+def known_word_remap(spark, sf_dir):
+    next_id, known = known_words(spark)
+    numbers = vocabulary.word_numbers(vocabulary.word_frequencies(tokenized_rows(spark, sf_dir)))
+    return vocabulary.external_numbers(numbers, known, next_id)
+
+
+@query
+def word_catalog(spark, sf_dir):
+    """With known words that don't occur."""
+    next_id, known = known_words(spark)
+    numbers = vocabulary.word_numbers(vocabulary.word_frequencies(tokenized_rows(spark, sf_dir)))
+    return vocabulary.external_numbers(numbers, known, next_id, unseen=True).select("word_nr", "word", "len", "freq")
+
+
+@query
+def sentence_index(spark, sf_dir):
+    rows = tokenized_rows(spark, sf_dir)
+    numbers = vocabulary.word_numbers(vocabulary.word_frequencies(rows))
+    index = vocabulary.sentence_index(rows, numbers, vocabulary.source_numbers(rows), number="word_id")
+    return index.select("sent_id", "source_id", "ts_min", F.array_join(F.col("word_ids").cast("array<string>"), " ").alias("word_ids"))
+
+
+@query
+def word_length_signature(spark, sf_dir):
+    rows = tokenized_rows(spark, sf_dir)
+    return rows.select("sent_id", hashing.word_length_signature(F.split("tokenized", " ")).alias("signature"))
+
+
+@query
+def string_hash(spark, sf_dir):
+    return line_rows(spark, sf_dir).select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), hashing.string_hash(F.col("sentence")).alias("hash"))
+
+
+@query
+def bucket_hash(spark, sf_dir):
+    """Short ASCII words, whose bytes are their code points."""
+    words = vocabulary.word_frequencies(tokenized_rows(spark, sf_dir)).where(F.col("word").rlike("^[A-Za-z]{1,15}$"))
+    return words.select("word", hashing.bucket_id(F.col("word")).alias("bucket"))
+
+
+@query
+def mwu_count(spark, sf_dir):
+    """Occurrences of two- and three-word units in the tokenized lines."""
+    units = spark.createDataFrame([("of the", "of the"), ("in the", "in the"), ("de la", "de la"), ("and the of", "and the of"), ("la de la", "la de la")], "unit_tok string, unit string")
+    found = mwu.find_units(tokenized_rows(spark, sf_dir), units, ["sent_id"])
+    return found.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+@query
+def number_tokens(spark, sf_dir):
+    words = tokenized_rows(spark, sf_dir).select(F.explode(F.split("tokenized", " ")).alias("word")).where("word != ''")
+    return words.groupBy((tokenizer.number_replaced(F.col("word")) == tokenizer.NUMBER).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# language
+
+
+def word_list(spark, sf_dir, size: int = 2000) -> DataFrame:
+    return lani.learn_wordlists(table(spark, sf_dir, "documents"), "lang", "text", size)
+
+
+def lani_rows(spark, sf_dir) -> DataFrame:
+    return line_rows(spark, sf_dir, "lang").where("sentence != ''")
+
+
+@query
+def lani_wordlist(spark, sf_dir):
+    return word_list(spark, sf_dir, 300).select("lang", "word", F.round("prob", 12).alias("prob"))
+
+
+@query
+def lani_scores(spark, sf_dir):
+    out = lani.scores(lani_rows(spark, sf_dir), word_list(spark, sf_dir), KEY)
+    return out.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), "lang", F.round("score", 6).alias("score"), "wordcount")
+
+
+@query
+def lani_best(spark, sf_dir):
+    out = lani.best(lani.scores(lani_rows(spark, sf_dir), word_list(spark, sf_dir), KEY), KEY)
+    return out.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), "language", "probability", "wordcount")
+
+
+@query
+def lani_coverage(spark, sf_dir):
+    out = lani.scores(lani_rows(spark, sf_dir), word_list(spark, sf_dir), KEY)
+    return out.groupBy("lang").agg(F.round(F.avg("coverage"), 6).alias("coverage"), F.sum("wordcount").alias("wordcount"))
+
+
+@query
+def lani_confusion(spark, sf_dir):
+    rows = lani_rows(spark, sf_dir)
+    out = lani.best(lani.scores(rows, word_list(spark, sf_dir), KEY), KEY)
+    return rows.select(*KEY, "lang").join(out, KEY).groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def lani_sampled(spark, sf_dir):
+    """At most ten words of a sentence are looked up, by stride."""
+    out = lani.scores(lani_rows(spark, sf_dir), word_list(spark, sf_dir), KEY, max_words=10)
+    return out.groupBy("lang").agg(F.sum("wordcount").alias("wordcount"), F.round(F.sum("score"), 4).alias("score"))
+
+
+@query
+def lani_reduced(spark, sf_dir):
+    out = lani.best(lani.scores(lani_rows(spark, sf_dir), word_list(spark, sf_dir), KEY, reduced=True), KEY)
+    return out.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def language_split_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    split = lani.split_by_language(docs, word_list(spark, sf_dir), ["doc_id"])
+    return split.groupBy("language").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def similar_languages(spark, sf_dir):
+    distances = spark.createDataFrame([("de", "nl", 0.5), ("de", "en", 0.9), ("es", "pt", 0.3), ("e", "la", 0.7)], "lang_1 string, lang_2 string, dist double")
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    return lani.similar_languages(distances, langs)
+
+
+# segmenter and tokenizer
+
+
+@query
+def segment_plain(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "content")
+    out = segmenter.segment(docs, segmenter.Segmenter())
+    return out.select("doc_id", F.size("sentences").cast("long").alias("n"), F.array_join("sentences", "\n").alias("sentences"))
+
+
+@query
+def segment_rules(spark, sf_dir):
+    """With the default lists and rules."""
+    docs = documents(spark, sf_dir).select("doc_id", "content")
+    out = segmenter.segment(docs, segmenter.Segmenter.default())
+    return segmenter.sentence_rows(out.select("doc_id", "sentences")).withColumn("sent_ord", F.col("sent_ord").cast("long"))
+
+
+@query
+def conversation_segments(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
+    out = segmenter.segment(turns, segmenter.Segmenter())
+    return out.select("conv_id", "turn", F.size("sentences").cast("long").alias("n"))
+
+
+@query
+def tokenize(spark, sf_dir):
+    rows = line_rows(spark, sf_dir).where("sentence != ''")
+    out = tokenizer.tokenize(rows, tokenizer.Tokenizer.default())
+    return out.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), "tokenized")
+
+
+@query
+def tokenize_simple(spark, sf_dir):
+    return tokenized_rows(spark, sf_dir).select("sent_id", "tokenized")
+
+
+@query
+def align_glue(spark, sf_dir):
+    """Which tokens touch the one before, of the simple tokens."""
+    rows = tokenized_rows(spark, sf_dir).where("tokenized != ''")
+    tokens = align.split_tokens(F.col("tokenized"))
+    glue = align.token_glue(tokens, align.token_starts(F.col("sentence"), tokens))
+    return rows.select("sent_id", F.array_join(F.transform(glue, lambda g: F.when(g, "1").otherwise("0")), "").alias("glue"))
+
+
+@query
+def token_structs(spark, sf_dir):
+    rows = tokenized_rows(spark, sf_dir).where("tokenized != ''")
+    t = rows.select("sent_id", F.explode(annotate.token_structs(F.col("sentence"), F.col("tokenized"))).alias("t"))
+    return t.groupBy("sent_id").agg(F.sum(F.col("t.space_after").cast("long")).alias("spaces"), F.max("t.start").cast("long").alias("last_start"), F.sum(F.col("t.is_sent_start").cast("long")).alias("starts"))
+
+
+# files
+
+
+def ordered(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.octet_length("content").cast("long").alias("length"))
+
+
+@query
+def slice_docs(spark, sf_dir):
+    return files.slice_documents(ordered(spark, sf_dir), 11, 60, order=["doc_id"])
+
+
+@query
+def split_by_docs(spark, sf_dir):
+    return files.split_by_documents(ordered(spark, sf_dir), 37, order=["doc_id"]).select("doc_id", "part")
+
+
+@query
+def split_by_bytes(spark, sf_dir):
+    return files.split_by_bytes(ordered(spark, sf_dir), 50_000, order=["doc_id"]).select("doc_id", "part")
+
+
+@query
+def merge_docs(spark, sf_dir):
+    docs = ordered(spark, sf_dir).select(F.lit("a").alias("path"), F.col("doc_id").alias("doc_ord"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("b").alias("path"), F.col("page_id").alias("doc_ord"))
+    return files.merge_documents([pages, docs]).select("path", "doc_ord", "merged_ord")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+@query
+def top_sources(spark, sf_dir):
+    """The two sources with most lines of each language."""
+    counts = line_rows(spark, sf_dir, "lang").groupBy("lang", "location").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("lang").orderBy(F.desc("n"), "location")
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2")
