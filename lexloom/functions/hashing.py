@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,27 +18,32 @@ def _int32(x: Column) -> Column:
     return F.shiftright(F.shiftleft(x, 32), 32)
 
 
-def _rolling(units: Column) -> Column:
-    """32-bit rolling hash: the first 15 units weigh 37, a stride of the others 39."""
-    n = F.size(units)
-    head = F.transform(F.slice(units, 1, 15), lambda c: F.struct(c.alias("c"), F.lit(37).cast("long").alias("m")))
-    step = F.greatest(F.lit(1), F.floor(n / 16).cast("int"))
-    sampled = F.filter(F.slice(units, 16, F.greatest(F.lit(0), n - 15)), lambda _, i: i % step == 0)
-    tail = F.transform(sampled, lambda c: F.struct(c.alias("c"), F.lit(39).cast("long").alias("m")))
-    return F.abs(F.aggregate(F.concat(head, tail), F.lit(0).cast("long"), lambda h, x: _int32(h * x["m"] + x["c"])))
+def _rolling(n: Column, unit_at: Callable[[Column], Column]) -> Column:
+    """32-bit rolling hash of ``n`` units: the first 15 weigh 37, a stride of the others 39. Only the
+    units that count are looked at."""
+    none = F.array().cast("array<struct<p:int,m:bigint>>")
+
+    def weighed(places: Column, weight: int) -> Column:
+        return F.transform(places, lambda p: F.struct(p.alias("p"), F.lit(weight).cast("long").alias("m")))
+
+    head = F.when(n > 0, weighed(F.sequence(F.lit(1), F.least(n, F.lit(15))), 37)).otherwise(none)
+    tail = F.when(n > 15, weighed(F.sequence(F.lit(16), n, F.greatest(F.lit(1), F.floor(n / 16).cast("int"))), 39)).otherwise(none)
+    return F.abs(F.aggregate(F.concat(head, tail), F.lit(0).cast("long"), lambda h, x: _int32(h * x["m"] + unit_at(x["p"]))))
 
 
 def string_hash(text: Column) -> Column:
     """Non-negative 32-bit hash over code points; '' is 0."""
-    return _rolling(F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(text, ""), code_point)))
+    return _rolling(F.length(text), lambda p: code_point(F.substring(text, p, F.lit(1))))
 
 
 def bucket_id(text: Column) -> Column:
     """The same over the signed bytes of the UTF-8 form."""
-    raw = F.hex(F.encode(text, "UTF-8"))
-    pairs = F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(raw, F.lit("(..)"), 1))
-    signed = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long") - F.when(h >= "80", 256).otherwise(0))
-    return _rolling(signed)
+
+    def byte(p: Column) -> Column:
+        pair = F.hex(F.substring(F.encode(text, "UTF-8"), p, F.lit(1)))
+        return F.conv(pair, 16, 10).cast("long") - F.when(pair >= "80", 256).otherwise(0)
+
+    return _rolling(F.octet_length(text), byte)
 
 
 def word_length_signature(tokens: Column, shortest: int = 4) -> Column:

@@ -63,14 +63,9 @@ def learn_wordlists(labelled: DataFrame, lang: str, text: str, size: int = 2000)
     return ranked.join(F.broadcast(total), "lang").select("lang", "word", (F.col("n") / F.col("size")).alias("prob"))
 
 
-def sentence_tokens(sentence: Column, special: str | None = SPECIAL_CHARS, max_words: int | None = None) -> Column:
-    """Tokens to look up: split at single blanks, empty ones count; with ``max_words``, every k-th."""
-    cleaned = F.regexp_replace(sentence, special, "") if special else sentence
-    tokens = F.split(cleaned, " ", -1)
-    if not max_words:
-        return tokens
-    step = F.greatest(F.lit(1), F.floor(F.size(tokens) / max_words).cast("int"))
-    return F.slice(F.filter(tokens, lambda _, i: i % step == 0), 1, max_words)
+def sentence_tokens(sentence: Column, special: str | None = SPECIAL_CHARS) -> Column:
+    """Tokens of a sentence: split at single blanks, empty ones count."""
+    return F.split(F.regexp_replace(sentence, special, "") if special else sentence, " ", -1)
 
 
 def scores(sentences: DataFrame, wordlist: DataFrame, key: list[str], column: str = "sentence", filter_list: DataFrame | None = None, special: str | None = SPECIAL_CHARS, max_words: int | None = None, reduced: bool = False) -> DataFrame:
@@ -80,14 +75,19 @@ def scores(sentences: DataFrame, wordlist: DataFrame, key: list[str], column: st
     shuffle on the word. ``filter_list`` has a column word of tokens to pass over."""
     langs = [r[0] for r in wordlist.select("lang").distinct().orderBy("lang").collect()]
     n = len(langs)
-    tokens = sentences.select(*key, F.posexplode(sentence_tokens(F.col(column), special, max_words)).alias("pos", "word"))
+    listed = sentences.select(*key, sentence_tokens(F.col(column), special).alias("__tokens")).select(*key, F.size("__tokens").alias("n_tokens"), "__tokens")
+    tokens = listed.select(*key, "n_tokens", F.posexplode("__tokens").alias("pos", "word"))
+    lengths = listed.select(*key, "n_tokens")
+    if max_words:  # every k-th token, up to so many
+        step = F.greatest(F.lit(1), F.floor(F.col("n_tokens") / max_words).cast("int"))
+        tokens = tokens.where((F.col("pos") % step == 0) & (F.col("pos") < step * max_words))
+        lengths = lengths.withColumn("n_tokens", F.least(F.lit(max_words), F.ceil(F.col("n_tokens") / step).cast("int")))
     if filter_list is not None:
         tokens = tokens.join(F.broadcast(filter_list.select("word").distinct()), "word", "left_anti") if filter_list.count() <= BROADCAST_WORDS else tokens.join(filter_list, "word", "left_anti")
     # one row a word, with all its languages: a token joins once, and S is at hand
     words = wordlist.groupBy("word").agg(F.sum("prob").alias("s"), F.collect_list(F.struct("lang", "prob")).alias("found"))
     if wordlist.count() <= BROADCAST_WORDS:
         words = F.broadcast(words)
-    lengths = sentences.select(*key, F.size(sentence_tokens(F.col(column), special, max_words)).alias("n_tokens"))
     hits = tokens.join(words, "word").select(*key, F.col("s"), F.explode("found").alias("f"))
     rest = F.lit(0.1) * F.col("s") / F.lit(float(n))
     sums = hits.groupBy(*key, F.col("f.lang").alias("lang")).agg(F.sum(F.log(F.col("f.prob") / rest)).alias("logit"), F.count(F.lit(1)).alias("wordcount"))

@@ -96,6 +96,7 @@ class Segmenter:
                 marks=marks,
                 find=re.compile("|".join(map(re.escape, marks))),
                 before=self.before | extra,
+                after=self.after,
                 window=max(map(len, self.before), default=0),
                 before_rules=[(re.compile(p), yes) for p, yes in self.before_rules],
                 after_rules=[(re.compile(p), yes) for p, yes in self.after_rules],
