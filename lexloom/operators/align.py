@@ -1,7 +1,12 @@
-"""Alignment of tokens with the raw sentence, as column expressions."""
+"""Alignment of tokens with the raw sentence.
+
+Finding the tokens is sequential, each search starting where the last one ended, so it runs in an
+Arrow-batched function that is linear in the sentence; what follows from the places is columns.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,24 +15,39 @@ def split_tokens(tokenized: Column) -> Column:
     return F.split(tokenized, " ")
 
 
+def find_tokens(raw: str, tokens: list[str]) -> list[int] | None:
+    """Places of the tokens in ``raw``; None if one is missing or anything but blanks is left."""
+    at, out = 0, []
+    for t in tokens:
+        place = raw.find(t, at)
+        if place < 0:
+            return None
+        out.append(place)
+        at = place + len(t)
+    return None if raw[at:].strip() else out
+
+
 def token_starts(raw: Column, tokens: Column, strict: bool = False) -> Column:
     """array<int> of the tokens' places (from 0), each looked for after the one before.
 
-    Null if a token is missing or anything but white space is left; an error with ``strict``."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"), F.lit(True).alias("ok"))
+    Null where they don't align, or if either side is null; an error with ``strict``."""
 
-    def step(acc: Column, t: Column) -> Column:
-        place = F.call_function("locate", t, raw, acc["at"])
-        found = acc["ok"] & (place > 0)
-        return F.struct(F.when(found, place + F.length(t)).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(place - 1)).alias("out"), found.alias("ok"))
+    @F.pandas_udf("array<int>")
+    def run(sentences: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for s, ts in zip(sentences, lists):
+            found = None if s is None or ts is None else find_tokens(s, list(ts))
+            if found is None and strict:
+                raise ValueError(f"tokens don't align: {s}")
+            out.append(found)
+        return pd.Series(out, dtype=object)
 
-    end = F.aggregate(tokens, start, step)
-    whole = end["ok"] & (F.trim(F.substring(raw, end["at"], F.length(raw))) == "")
-    lost = F.raise_error(F.concat(F.lit("tokens don't align: "), raw)).cast("array<int>") if strict else F.lit(None).cast("array<int>")
-    return F.when(whole, end["out"]).otherwise(lost)
+    return run(raw, tokens)
 
 
 def token_glue(tokens: Column, starts: Column) -> Column:
     """array<boolean>: whether each token but the first touches the one before it."""
-    pairs = F.slice(F.arrays_zip(tokens.alias("t"), starts.alias("s")), 1, F.greatest(F.lit(0), F.size(tokens) - 1))
-    return F.transform(pairs, lambda p, i: p["s"] + F.length(p["t"]) == F.get(starts, i + 1))
+    # zipped, not looked up by place: what a lambda refers to outside is evaluated for every element
+    ends = F.zip_with(starts, tokens, lambda s, t: s + F.length(t))
+    rest = F.greatest(F.lit(0), F.size(tokens) - 1)
+    return F.zip_with(F.slice(ends, 1, rest), F.slice(starts, 2, rest), lambda e, s: e == s)

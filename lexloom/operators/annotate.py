@@ -15,7 +15,9 @@ def token_structs(raw: Column, tokenized: Column, first_of_sentence: Column | No
     starts = token_starts(raw, tokens)
     glue = token_glue(tokens, starts)
     firsts = first_of_sentence if first_of_sentence is not None else F.array(F.lit(0))
-    made = F.transform(tokens, lambda t, i: F.struct(t.alias("text"), F.get(starts, i).alias("start"), (~F.coalesce(F.get(glue, i), F.lit(False)) & (i < F.size(tokens) - 1)).alias("space_after"), F.array_contains(firsts, i).alias("is_sent_start")))
+    # the last token has no blank behind it, as if it touched the next
+    zipped = F.arrays_zip(tokens.alias("t"), starts.alias("s"), F.concat(glue, F.array(F.lit(True))).alias("g"))
+    made = F.transform(zipped, lambda x, i: F.struct(x["t"].alias("text"), x["s"].alias("start"), (~x["g"]).alias("space_after"), F.array_contains(firsts, i).alias("is_sent_start")))
     return F.when(starts.isNotNull(), made)
 
 
