@@ -89,10 +89,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, tex
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False, width: int = WIDTH, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window, or, with ``spans``, without the hit words."""
-    marked = contamination(docs, benchmark, width, text_col, prefix="__dc_")
+    # a field that isn't deterministic keeps the filter above the projection: pushed below, it would
+    # have the words split again for every word
+    marked = contamination(docs, benchmark, width, text_col, prefix="__dc_").withColumn("__dc_row", F.monotonically_increasing_id())
     names = [F.col(f"`{c}`") for c in docs.columns]
     if not spans:
-        return marked.where(F.size("__dc_hits") == 0).select(*names)
+        return marked.where((F.size("__dc_hits") == 0) & (F.col("__dc_row") >= 0)).select(*names)
     text = F.col(f"`{text_col}`")
     gaps, words = F.split(text, _RAW_WORD, -1), F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0))
     marked = marked.withColumns({"__dc_gaps": gaps, "__dc_raw": words})
