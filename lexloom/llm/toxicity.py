@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import share_threshold
 
 #: Bytes of text, about, that a class's model is fitted on at most.
-TRAIN_BYTES = 8_000_000
+TRAIN_BYTES = 6_000_000
 #: Bytes of the longest text that models are fitted on.
 TRAIN_TEXT = 1_000_000
 #: Letters of the beginnings of words that are levels of their own, longest first.
@@ -218,7 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.where(F.octet_length(text_col) <= TRAIN_TEXT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y.where(chosen)), "id")
 
     rows = sorted((r["id"], r["y"], r["text"]) for r in texts.select("id", "y", "text").collect())
-    data = [(y_, words_of(t)) for _, y_, t in rows]
+    one: dict[bytes, bytes] = {}  # each word is kept once
+    data = [(y_, [one.setdefault(w, w) for w in words_of(t)]) for _, y_, t in rows]
+    del rows
     # folds by the first words, so that copies hardly meet across them
     folds = 4
     part = [_hash(b" ".join(w[:4])) % folds for _, w in data]
