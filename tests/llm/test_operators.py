@@ -306,7 +306,7 @@ def test_links_lose_none(spark):
 
 
 def test_components_of_a_path(spark):
-    n = 200
+    n = 40
     edges = spark.range(n - 1).select(((F.col("id") * 37) % n).alias("a"), (((F.col("id") + 1) * 37) % n).alias("b"))
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     assert roots == dict.fromkeys(range(n), 0)
