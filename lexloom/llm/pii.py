@@ -7,8 +7,12 @@ of its strings that are known to be of that kind, and a string's is that at leas
 patterns is right. Patterns of high confidence and enough different strings make their other strings
 known, which support further patterns in the next round. Strings found so are spans of that kind.
 
-Texts are read once. What follows works on a slim written table of identifier-like tokens (those with
-a digit or an at sign), grouped by pattern or by string with partial aggregation, so a pattern around
+What a pattern surrounds is a whole base entity or, elsewhere, a run of identifier-like tokens (those
+with a digit or an at sign; only tokens without letters join, as those of phones and cards do). A
+base entity makes nothing known but itself: elsewhere a string is marked for the score that its
+patterns give it, not because a part of a base entity reads the same.
+
+Texts are read once. What follows works on a slim written table of these, grouped by pattern or by string with partial aggregation, so a pattern around
 a third of all tokens costs a row a task. The rounds are written, and end early when nothing is new.
 """
 
@@ -95,8 +99,8 @@ def _line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(located: Column, text: Column) -> Column:
-    """Identifier-like tokens with the words around them, digits folded to 0."""
+def _context(located: Column, text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Places with the whole words around them, digits folded to 0, and their fields of ``more``."""
     def fold(w: Column) -> Column:
         return F.regexp_replace(F.lower(w), r"[0-9]+", "0")
 
@@ -106,15 +110,46 @@ def _context(located: Column, text: Column) -> Column:
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
-            m["s"].alias("s"),
-            fold(F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)).alias("l2"),
-            fold(F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)).alias("l1"),
-            fold(F.regexp_extract(after, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)).alias("r1"),
+            *[m[x].alias(x) for x in more],
+            # what a place shares its first or last word with isn't a word around it
+            fold(F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$", 1)).alias("l2"),
+            fold(F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$", 1)).alias("l1"),
+            fold(F.regexp_extract(after, r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1)).alias("r1"),
         )
 
     return F.transform(located, one)
 
 
+def _joined(before: Column, this: Column) -> Column:
+    """Whether two tokens in a row can be of one identifier: without letters, only blanks between."""
+    bare = ~this["s"].rlike(r"[\p{L}@]") & ~before["s"].rlike(r"[\p{L}@]|[,;:.!?]$")
+    return ~this["seeded"] & ~before["seeded"] & this["before"].rlike(r"^[\x20\x09]+$") & bare
+
+
+def _runs(tokens: Column) -> Column:
+    """Longest runs of joined tokens that are in no base span, each as the array of its tokens.
+
+    ``tokens`` has to be a plain column, for it is looked up by place."""
+    n = F.size(tokens)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    heads = F.filter(places, lambda i: (i == 0) | ~F.coalesce(_joined(F.get(tokens, i - 1), F.get(tokens, i)), F.lit(False)))
+    ends = F.concat(F.slice(heads, F.lit(2), F.greatest(F.size(heads), F.lit(1))), F.array(n))
+    runs = F.transform(F.arrays_zip(heads.alias("h"), ends.alias("e")), lambda z: F.slice(tokens, z["h"] + 1, z["e"] - z["h"]))
+    return F.filter(runs, lambda r: F.exists(r, lambda x: ~x["seeded"]))
+
+
+def _own(s: Column) -> Column:
+    """A string without the signs around it, in lower case."""
+    bare = F.regexp_replace(F.lower(s), r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
+    return F.regexp_replace(bare, r"[\x20\x09-\x0D]+", " ")
+
+
+def _patterns(x: Column) -> Column:
+    left = F.when((x["l1"] != "") & (x["l2"] != ""), F.concat_ws(" ", F.lit("l"), x["l2"], x["l1"]))
+    around = F.when((x["l1"] != "") & (x["r1"] != ""), F.concat_ws(" ", F.lit("s"), x["l1"], F.lit("_"), x["r1"]))
+    return F.array_compact(F.array(left, around))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, base and spans (arrays of struct(start, k, end)), text_key.
 
@@ -128,29 +163,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
             "tokens": F.when(F.col("t").rlike("[0-9@]"), _located(F.col("t"), _TOKEN)),
         }
     )
-    slim = written(rows.select("id", "text_key", "base", _context(F.col("tokens"), F.col("t")).alias("tokens")), "pii")
-
-    each = slim.where(F.size("tokens") > 0).select("id", "text_key", "base", F.explode("tokens").alias("x"))
-    over = F.filter("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start")))
-    own = F.regexp_replace(F.lower("x.s"), r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    kinds = F.array_distinct(F.transform(over, lambda b: b["k"]))
-    tokens = each.select(
-        "id",
-        "text_key",
-        F.col("x.start").alias("start"),
-        F.col("x.end").alias("end"),
-        own.alias("string"),
-        F.when(F.size(kinds) > 0, F.get(kinds, F.lit(0))).alias("seed"),
-        F.array_compact(F.array(F.when((F.col("x.l1") != "") & (F.col("x.l2") != ""), F.concat_ws(" ", F.lit("l"), "x.l2", "x.l1")), F.when((F.col("x.l1") != "") & (F.col("x.r1") != ""), F.concat_ws(" ", F.lit("s"), "x.l1", F.lit("_"), "x.r1")))).alias("patterns"),
-    ).where("string != ''")
-    tokens = written(tokens, "pii-tokens")
-    edges = written(tokens.select(F.explode("patterns").alias("pattern"), "string").distinct(), "pii-edges")
-    known = tokens.where("seed is not null").groupBy("string").agg(F.min("seed").alias("k"))
+    named = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["k"].alias("k"), F.substring(F.col("t"), b["start"] + 1, b["end"] - b["start"]).alias("s")))
+    rows = written(rows.select("id", "text_key", "base", _context(named, F.col("t"), ("k", "s")).alias("entities"), _context(F.col("tokens"), F.col("t"), ("s", "before")).alias("tokens")), "pii")
+    slim = rows.select("id", "text_key", "base")
+
+    def seeded(x: Column) -> Column:
+        return F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+
+    # of what is between tokens only blanks matter
+    near = lambda x: F.when(x["before"].rlike(r"^[\x20\x09]+$"), F.lit(" ")).otherwise("")
+    marked = F.transform("tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), near(x).alias("before"), x["l2"].alias("l2"), x["l1"].alias("l1"), x["r1"].alias("r1"), seeded(x).alias("seeded")))
+    marked = written(rows.where(F.size("tokens") > 0).select("id", "text_key", marked.alias("tokens")), "pii-tokens")
+    runs = written(marked.select("id", "text_key", F.explode(_runs(F.col("tokens"))).alias("run")), "pii-runs")
+    first, last = F.get("run", F.lit(0)), F.element_at("run", -1)
+    whole = F.struct(_own(F.array_join(F.transform("run", lambda x: x["s"]), " ")).alias("s"), first["l2"].alias("l2"), first["l1"].alias("l1"), last["r1"].alias("r1"))
+    # what patterns surround: base entities, and runs of tokens that are in none
+    entities = rows.select(F.explode("entities").alias("x")).select(_own(F.col("x.s")).alias("string"), F.col("x.k").alias("seed"), _patterns(F.col("x")).alias("patterns"))
+    others = runs.select(whole.alias("x")).select(F.col("x.s").alias("string"), F.lit(None).cast("int").alias("seed"), _patterns(F.col("x")).alias("patterns"))
+    instances = written(entities.unionByName(others).where("string != ''"), "pii-instances")
+    edges = written(instances.select(F.explode("patterns").alias("pattern"), "string").distinct(), "pii-edges")
+    known = instances.where("seed is not null").groupBy("string").agg(F.min("seed").alias("k"))
     known = written(known, "pii-known")
     degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
     degree = written(degree.where(F.col("degree") >= support), "pii-degree")
 
-    n_known = known.count()
+    n_known, best = known.count(), known.limit(0)
     for _ in range(rounds):
         backed = checked_join(edges, known, "string", "inner").groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
         scored = backed.join(degree, "pattern").withColumn("conf", F.col("n") / F.col("degree")).where(F.col("conf") >= confidence)
@@ -159,6 +196,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))
         strings = checked_join(edges, patterns, "pattern", "inner").groupBy("string", "k").agg((1 - miss).alias("score")).where(F.col("score") >= confidence)
         best = strings.groupBy("string").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("k").alias("k"))).alias("b")).select("string", F.col("b.k").alias("k"))
+        best = written(best, "pii-best")
         found = checked_join(best, known.select("string"), "string", "left_anti")
         known = written(known.select("string", "k").unionByName(found), "pii-known")
         n = known.count()
@@ -166,8 +204,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
             break
         n_known = n
 
-    fresh = checked_join(tokens.where("seed is null"), known, "string", "inner")
+    # marked elsewhere: any joined tokens whose string has a score, whatever stands beside them
+    words = best.agg(F.max(F.size(F.split("string", " ")))).first()[0] or 0
+    size = F.size("run")
+    parts = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size),
+            lambda i: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(max(1, words)), size - i + 1)),
+                lambda m: F.struct(F.get("run", i - 1)["start"].alias("start"), F.get("run", i + m - 2)["end"].alias("end"), F.array_join(F.transform(F.slice("run", i, m), lambda x: x["s"]), " ").alias("s")),
+            ),
+        )
+    )
+    places = runs.select("id", "text_key", F.explode(parts).alias("x")).select("id", "text_key", "x.start", "x.end", _own(F.col("x.s")).alias("string"))
+    fresh = checked_join(places, best, "string", "inner")
     added = fresh.select("id", "text_key", F.struct("start", "k", "end").alias("span")).groupBy("id", "text_key").agg(F.collect_set("span").alias("added"))
+    # of spans of a kind within each other the longest stays
+    added = added.withColumn("added", F.filter("added", lambda x: ~F.exists("added", lambda y: (y["k"] == x["k"]) & (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))))
     added = written(added.select(F.col("id").alias("a_id"), F.col("text_key").alias("a_key"), "added"), "pii-added")
     out = checked_join(slim, added, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.from_json(F.lit("[]"), _SPAN))))
