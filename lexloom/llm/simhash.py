@@ -124,11 +124,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", rooted: bool = False) -> DataFrame:
     """One row per document: id, fingerprint, n_near, component_id, text_key.
 
-    Null and wordless texts have fingerprint zero and link like any other. Repeated rows are documents
-    of their own that link with each other. A component's id is the smallest id in it; null ids are
+    ``rooted``: also root, the smallest fingerprint of the component, which alone tells components
+    apart where ids are null or repeat. Null and wordless texts have fingerprint zero and link like
+    any other. Repeated rows are documents of their own that link with each other. A component's id is the smallest id in it; null ids are
     passed over unless it has no other. An empty table gives no rows."""
     slim = written(fingerprints(docs, id_col, text_col), "simhash")
     total = slim.count()
@@ -143,20 +144,20 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
         nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .join(ids, "root", "left")
         .join(around, "fp", "left")
-        .select("fp", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.col("n") - 1 + F.coalesce(F.col("others"), F.lit(0))).alias("n_near"))
+        .select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.col("n") - 1 + F.coalesce(F.col("others"), F.lit(0))).alias("n_near"))
     )
     out = hot_join(slim, written(info, "simhash-info"), "fp", "n", total)
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id", "text_key")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id", "text_key", *(["root"] if rooted else []))
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id, of repeated rows one."""
-    near = written(near_duplicates(docs, distance, id_col, text_col).select(F.col(id_col).alias("__id"), "text_key", "component_id"), "simhash-near")
-    groups = near.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_key").alias("k"))).alias("keep"), F.count(F.lit(1)).alias("n"))
+    near = written(near_duplicates(docs, distance, id_col, text_col, rooted=True).select(F.col(id_col).alias("__id"), "text_key", "root"), "simhash-near")
+    groups = near.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_key").alias("k"))).alias("keep"), F.count(F.lit(1)).alias("n"))
     # what goes: every (id, content) of a larger group except the one that stays
-    held = groups.where("n > 1").select(F.col("component_id"), F.col("keep.id").alias("__id"), F.col("keep.k").alias("text_key"))
+    held = groups.where("n > 1").select("root", F.col("keep.id").alias("__id"), F.col("keep.k").alias("text_key"))
     held = written(held, "simhash-held")
-    stays = checked_join(near, held.select(F.col("component_id").alias("c"), F.col("__id").alias("h_id"), F.col("text_key").alias("h_key")), F.col("component_id").eqNullSafe(F.col("c")), "inner")
+    stays = checked_join(near, held.select(F.col("root").alias("c"), F.col("__id").alias("h_id"), F.col("text_key").alias("h_key")), F.col("root") == F.col("c"), "inner")
     gone = written(stays.where(~(F.col("__id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")))).select(F.col("__id").alias("__g_id"), F.col("text_key").alias("__g_key")).distinct(), "simhash-gone")
     again = near.groupBy("__id", "text_key").count().where("count > 1").select(F.col("__id").alias("__r_id"), F.col("text_key").alias("__r_key"))
     again = written(again, "simhash-again")

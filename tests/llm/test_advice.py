@@ -1,6 +1,6 @@
 """Cases of the review of round 1: each does less than the whole job in the code before it."""
 
-from lexloom.llm import pii
+from lexloom.llm import pii, simhash
 
 
 def spans(spark, texts, **options):
@@ -21,3 +21,12 @@ def test_pii_finds_identifiers_of_several_tokens_whole(spark):
     texts += ["please call me 017 555 9999 today friend", "elsewhere 017 555 9999 again", "beside 12 017 555 9999 5 again", "and 017 or 9999 alone"]
     got = spans(spark, texts)
     assert got[12] == [(15, 3, 27)] and got[13] == [(10, 3, 22)] and got[14] == [(10, 3, 22)] and got[15] == []
+
+
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    def text(i):
+        return " ".join(f"word{(i * 7919 + k * k * 31) % 9973}" for k in range(60))
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4) + " "), (8, text(5)), (9, text(5))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"].strip()) for r in kept) == sorted([("None", text(1)), ("None", text(2)), ("7", text(3)), ("7", text(4)), ("8", text(5))])
