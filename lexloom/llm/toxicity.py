@@ -184,16 +184,18 @@ class Ratio:
             value = np.where(self.pairs.keys[place] == pair, self.pairs.ratio[place], value)
         return float(value.mean())
 
-    def calibrate(self, evidence: np.ndarray, label: np.ndarray) -> None:
-        """Fit the logistic function by damped Newton steps, slightly regularised."""
+    def calibrate(self, evidence: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Fit the logistic function by damped Newton steps, slightly regularised. A row of a class
+        that was sampled weighs as many rows as it stands for."""
         value = _damped(evidence)
+        weight = np.ones(len(value)) if weight is None else weight * (len(weight) / weight.sum())
         scale = float(np.std(value)) or 1.0
         x = np.stack((value / scale, np.ones(len(value))), axis=1)
         b = np.zeros(2)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
-            g = x.T @ (label - p) - 1e-2 * b
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), g)
+            g = x.T @ (weight * (label - p)) - 1e-2 * b
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), g)
             b += step / max(1.0, float(np.abs(step).max()))
             if np.abs(step).max() < 1e-9:
                 break
@@ -211,9 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     mean = docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 1.0
     h = F.xxhash64("id")
-    chosen = F.lit(False)
+    chosen, share = F.lit(False), {}
     for label, count in n.items():
-        chosen = chosen | ((F.col("y") == label) & (h <= share_threshold(train_bytes / (count * mean))))
+        share[label] = min(1.0, train_bytes / (count * mean))
+        chosen = chosen | ((F.col("y") == label) & (h <= share_threshold(share[label])))
     # the sample has about TRAIN_BYTES / mean ids a class, so its ids may be broadcast
     texts = docs.where(F.octet_length(text_col) <= TRAIN_TEXT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y.where(chosen)), "id")
 
@@ -233,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         truth += [y_ for y_, _ in unseen]
     final = Ratio([w for y_, w in data if y_], [w for y_, w in data if not y_])
     if values:
-        final.calibrate(np.array(values), np.array(truth, dtype=float))
+        # the classes are sampled at different shares; the score goes by their numbers in the labels
+        final.calibrate(np.array(values), np.array(truth, dtype=float), np.array([1 / share[y_] for y_ in truth]))
     return final
 
 

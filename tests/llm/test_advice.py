@@ -1,6 +1,6 @@
 """Cases of the review of round 1: each does less than the whole job in the code before it."""
 
-from lexloom.llm import pii, simhash
+from lexloom.llm import pii, simhash, toxicity
 
 
 def spans(spark, texts, **options):
@@ -30,3 +30,18 @@ def test_one_of_each_component_stays_whatever_its_ids(spark):
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4) + " "), (8, text(5)), (9, text(5))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["text"].strip()) for r in kept) == sorted([("None", text(1)), ("None", text(2)), ("7", text(3)), ("7", text(4)), ("8", text(5))])
+
+
+def test_score_does_not_depend_on_the_sample_of_a_class(spark):
+    """A word in all of few toxic and a tenth of many ordinary documents tells less than a half."""
+    def text(i, marked):
+        words = [f"word{(i * 7919 + k * k * 31) % 997}" for k in range(60)]
+        return " ".join(w + " vilestword" if marked and k % 6 == 0 else w for k, w in enumerate(words))
+
+    rows = [(i, text(i, i < 100 or i % 10 == 0), int(i < 100)) for i in range(2100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
+    marked, size = text(5000, True), sum(len(t) for _, t, _ in rows) // len(rows)
+    whole = toxicity.fit(docs, labels).score(marked)
+    sampled = toxicity.fit(docs, labels, train_bytes=80 * size).score(marked)
+    assert 0.2 < whole < 0.5 and sampled < 0.5
