@@ -214,7 +214,7 @@ def test_exact_dedup(spark, monkeypatch):
 
 
 def test_dedup_hot_groups_and_shuffled_suspects(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("t"), F.col("id") % 1100)).alias("text"))
     rows = as_dicts(exact_dedup.exact_dedup(docs, owner_rows=100))
     hot = [r for r in rows if r["doc_id"] % 3 == 0]
@@ -317,7 +317,7 @@ def test_simhash_keeps_one(spark, monkeypatch):
     near = as_dicts(simhash.near_duplicates(docs))
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns and out.count() == len({r["component_id"] for r in near})
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert simhash.keep_one(docs).count() == out.count()
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
@@ -462,22 +462,31 @@ def test_pii_bootstraps(spark):
 
 
 def brute_lm(rows, kappa=lm_scoring.KAPPA):
+    """The interpolated trigram model, word by word, without an automaton."""
     toks = [(i, blank_words(lower(t)) + ["\n"], zlib.crc32(str(i).encode()) % 5 == 1 if i is not None else False) for i, t in rows]
-    uni, bi = Counter(), Counter()
+    uni, bi, tri = Counter(), Counter(), Counter()
     train = 0
     for _, w, held in toks:
         if not held:
             uni.update(w)
             bi.update(zip([None, *w], w))
+            tri.update(zip([None, *w], w, w[1:]))
             train += 1
     n, v = sum(uni.values()), len(uni)
     out = []
     for i, w, held in toks:
         base = [(uni[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
         score = 0.0
-        for h, x, p in zip([None, *w], w, base):
-            c = train if h is None else uni[h]
-            score += log10((bi[h, x] + kappa * p) / (c + kappa)) if c else log10(p)
+        for k, (x, p) in enumerate(zip(w, base)):
+            h = w[k - 1] if k else None
+            c = uni[h] if k else train
+            if c:
+                p = (bi[h, x] + kappa[0] * p) / (c + kappa[0])
+            if k:
+                g = w[k - 2] if k > 1 else None
+                if bi[g, h]:
+                    p = (tri[g, h, x] + kappa[1] * p) / (bi[g, h] + kappa[1])
+            score += log10(p)
         out.append((i, held, len(w), sum(uni[x] > 0 for x in w), n, sum(map(log10, base)), score))
     return out
 
@@ -498,13 +507,15 @@ def test_lm_scores(spark):
 def test_lm_codes():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
-    assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(keys)) == keys).all()
+    for k in (keys, keys[:1], keys >> np.uint64(30), np.arange(300, dtype=np.uint64), np.array([0, 1, 2, 2**63], dtype=np.uint64), keys[:0]):
+        k = np.unique(k)
+        assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(k)) == k).all()
     counts = np.array([0, 1, 254, 255, 256, 10**12])
     assert (lm_scoring.unpack_counts(lm_scoring.pack_counts(counts), 6) == counts).all()
 
 
 def test_scratch_needs_a_shared_folder(spark):
-    assert common.scratch_root(spark)
+    assert common.root(spark)
 
 
 def test_lone_rows(spark):
@@ -515,3 +526,22 @@ def test_lone_rows(spark):
 
 def test_one_query_each():
     assert [int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ids_are_never_altered(spark, kind):
+    """Ids beyond 2 ** 53 beside a null one."""
+    ids = [None, *[2**60 + k for k in range(6)]]
+    docs = spark.createDataFrame([(i, f"text {k % 3} of three") for k, i in enumerate(ids)], "doc_id long, text string").select(F.col("doc_id").cast(kind).alias("doc_id"), "text").coalesce(1)
+    want = Counter(None if i is None else (i if kind == "long" else str(i)) for i in ids)
+    dedup = as_dicts(exact_dedup.exact_dedup(docs))
+    assert Counter(r["doc_id"] for r in dedup) == want
+    assert {r["keep_id"] for r in dedup} == set(list(want)[1:4]) and all(r["group_size"] in (2, 3) for r in dedup)
+    assert Counter(r["doc_id"] for r in as_dicts(lm_scoring.score_texts(docs, F.lit(False)))) == want
+
+
+def test_dedup_splits_clashing_digests(spark):
+    rows = [(1, "one"), (2, "o n e"), (3, "two"), (4, None), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in as_dicts(exact_dedup.exact_dedup(docs, digest=lambda text: b"\1" * 32))}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (5, 2), 5: (5, 2)}
