@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import log, log10
 
 import numpy as np
 import pytest
@@ -244,10 +244,125 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(docs.limit(0), empty).count() == 0
 
 
-def test_kneser_ney_level():
-    n = lambda **x: (np.array([ord(k) for k in x], dtype=np.uint64), np.array(list(x.values()), dtype=float))
-    level = toxicity.Level(n(a=50, b=1, c=50), n(b=2, c=500, d=450))
-    assert level.table().keys() == {ord("a"), ord("d")} and level.table()[ord("a")] > 1 > 0 > level.table()[ord("d")]
+def brute_ratio(toxic, ordinary):
+    """The two models with dictionaries; P(class, before, word) and the vocabulary."""
+    def lr(a, b, all_a, all_b):
+        total, out = all_a + all_b, 0.0
+        for seen, of in ((a, all_a), (b, all_b)):
+            for o, e in ((seen, (a + b) * of / total), (of - seen, (total - a - b) * of / total)):
+                out += 2 * o * log(o / e) if o else 0.0
+        return out
+
+    def discount(values):
+        once, twice = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return once / (once + 2 * twice) if once else 0.5
+
+    names = {w for t in toxic + ordinary for w in t}
+    sides = []
+    for texts in (toxic, ordinary):
+        pairs, pair_in, word_in = Counter(), defaultdict(set), defaultdict(set)
+        for t in {tuple(t) for t in texts}:
+            for v, w in zip((None, *t), t):
+                pairs[v, w] += 1
+                pair_in[v, w].add(t[:4])
+                word_in[w].add(t[:4])
+        sides.append((pairs, pair_in, word_in, Counter(w for _, w in pairs), len({tuple(t[:4]) for t in texts})))
+    n0, n1 = sides[0][4], sides[1][4]
+    after = [s[3] for s in sides]
+    total = [sum(x.values()) for x in after]
+    shared = {w: (after[0][w] + after[1][w] + 0.5) / (sum(total) + 0.5 * (len(names) + 1)) for w in names}
+    cut = [discount(x.values()) for x in after]
+    own = [{w: max(after[k][w] - cut[k], 0) / total[k] + cut[k] * len(after[k]) / total[k] * shared[w] for w in names} for k in (0, 1)]
+
+    def told(count0, count1, of, p0, p1):
+        return lr(count0, count1, n0, n1) > 8 + 2 * log(max(2, of)) and abs(log(p0 / p1)) >= 1
+
+    uni = [{}, {}]
+    for w in names:
+        if told(len(sides[0][2][w]), len(sides[1][2][w]), len(names), own[0][w], own[1][w]):
+            uni[0][w], uni[1][w] = own[0][w], own[1][w]
+    for size in toxicity.BEGINNINGS:
+        groups = defaultdict(list)
+        for w in names - set(uni[0]):
+            if len(w) > size:
+                groups[w[:size]].append(w)
+        every = {w[:size] for w in names if len(w) > size}
+        counts = [{g: sum(after[k][w] for w in groups[g]) for g in every} for k in (0, 1)]
+        d = [discount([*counts[k].values()]) for k in (0, 1)]
+        left = [cut[k] * len(after[k]) / total[k] for k in (0, 1)]
+        mass = [{g: max(counts[k][g] - d[k], 0) / total[k] + left[k] * sum(shared[w] for w in ws) for g, ws in groups.items()} for k in (0, 1)]
+        for g, ws in groups.items():
+            texts = [len(set().union(*[sides[k][2][w] for w in ws])) for k in (0, 1)]
+            if mass[0][g] > 0 and mass[1][g] > 0 and told(*texts, len(every), mass[0][g], mass[1][g]):
+                for k in (0, 1):
+                    uni[k].update({w: mass[k][g] * shared[w] / sum(shared[x] for x in ws) for w in ws})
+    rest = [(1 - sum(u.values())) / (1 - sum(shared[w] for w in u)) for u in uni]
+    uni = [{w: u.get(w, r * shared[w]) for w in names} for u, r in zip(uni, rest)]
+    keys, bi = set(sides[0][0]) | set(sides[1][0]), [{}, {}]
+    d = [discount(s[0].values()) for s in sides]
+
+    def raw(k, v, w):
+        mine = {x: c for (h, x), c in sides[k][0].items() if h == v}
+        h = sum(mine.values())
+        return max(mine.get(w, 0) - d[k], 0) / h + d[k] * len(mine) / h * uni[k][w] if h else uni[k][w]
+
+    for v, w in keys:
+        if lr(len(sides[0][1][v, w]), len(sides[1][1][v, w]), n0, n1) > 8 + 2 * log(max(2, len(keys))):
+            p = raw(0, v, w), raw(1, v, w)
+            if abs(log(p[0] / p[1])) >= 1:
+                bi[0][v, w], bi[1][v, w] = p
+
+    def prob(k, v, w):
+        if (v, w) in bi[k]:
+            return bi[k][v, w]
+        mine = {x: p for (h, x), p in bi[k].items() if h == v}
+        return (1 - sum(mine.values())) / (1 - sum(uni[k][x] for x in mine)) * uni[k][w]
+
+    return prob, sorted(names), [r * 0.5 / (sum(total) + 0.5 * (len(names) + 1)) for r in rest]
+
+
+def test_kneser_ney_equals_brute_force():
+    rng = np.random.default_rng(4)
+    common = [f"w{i}" for i in range(40)]
+
+    def text(extra):
+        out = [common[int(i)] for i in rng.integers(0, 40, 30)]
+        for x in extra:
+            out[int(rng.integers(0, 30))] = x
+        return [w.encode() for w in out]
+
+    toxic = [text(["vile", "w1", "badstem" + "abcdefgh"[int(rng.integers(8))] + str(i)]) for i in range(60)]
+    toxic = [[*t[:10], b"w3", b"hiss", *t[10:]] for t in toxic] + toxic[:3]
+    ordinary = [text(["nice"] if i % 2 else ["w1"]) for i in range(90)]
+    number = {}
+    data = [[np.array([number.setdefault(w, len(number)) for w in t], dtype=np.int32) for t in x] for x in (toxic, ordinary)]
+    names = list(number)
+    model = toxicity.Ratio(*data, names, toxicity.stems_of(names))
+    prob, words, unseen = brute_ratio([[w.decode() for w in t] for t in toxic], [[w.decode() for w in t] for t in ordinary])
+    assert {b"vile", b"hiss", b"nice"} <= model.words.keys() and "badste" in model.beginnings[0] and b"w3" in model.histories
+    for v in (None, "w1", "w3", "vile"):  # distributions, with the words that were never seen
+        assert all(0.999 < sum(prob(k, v, w) for w in words) + unseen[k] < 1.001 for k in (0, 1))
+    for t in [*toxic[:10], *ordinary[:10], [b"w3", b"hiss", b"badstemxyz9", b"w3", b"w1"]]:
+        known = [w if w in number else b"badstema0" for w in t]
+        known = [w if w in number else next(x for x in names if x.startswith(b"badstem")) for w in known]
+        pairs = [(None if v is None else v.decode(), w.decode()) for v, w in zip([None, *known], known)]
+        want = [log(prob(0, v, w)) - log(prob(1, v, w)) for v, w in pairs]
+        assert model.differences(t) == pytest.approx(want, abs=1e-9)
+        assert model.evidence(t) == pytest.approx(sum(want) / len(want), abs=1e-9)
+    long = toxic[0] * 9
+    d = model.differences(long)
+    assert model.evidence(long) == pytest.approx(max(sum(d[i : i + 50]) / 50 for i in range(len(d) - 49)))
+    assert model.evidence([]) == 0.0
+
+
+def test_toxicity_bounds_its_sample(spark):
+    rows = [(i, ("word%d " % (i % 7)) * 9000, i % 2) for i in range(40)] + [(100 + i, "short one", 1) for i in range(3)]
+    table = spark.createDataFrame(rows, "id long, text string, y int")
+    out, share = common.sampled_pieces(table, "y", 60_000)
+    sizes = {r["y"]: r["b"] for r in out.groupBy("y").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    assert all(20_000 < b < 60_000 * 1.2 for b in sizes.values()) and all(0 < s < 1 for s in share.values())
+    out, share = common.sampled_pieces(table, "y", 10**9)
+    assert share == {0: 1.0, 1: 1.0} and out.agg(F.sum(F.octet_length("text"))).first()[0] == sum(len(t) for _, t, _ in rows)
 
 
 # simhash
