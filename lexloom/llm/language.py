@@ -5,8 +5,8 @@ with a blank). A document's own ranking is compared with each by the out-of-plac
 of the rank differences of its n-grams, one missing from the profile counting as the longest
 possible. The nearest language is predicted.
 
-Profiles are fitted on a bounded sample (``TRAIN_BYTES`` of text a language, chosen by a hash of the
-id); every document is predicted from its whole text, in one pass without a shuffle.
+Profiles are fitted on a bounded sample: ``TRAIN_BYTES`` of text a language, in pieces of its texts that
+are chosen by a hash, so that a language of a few long texts is learned like any other. Every document is predicted from its whole text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import share_threshold
+from lexloom.llm.common import sampled_pieces
 
-#: Bytes of text, about, that a language's profile is fitted on at most.
+#: Bytes of text that a language's profile is fitted on at most.
 TRAIN_BYTES = 4_000_000
 #: N-grams in a profile and in a document's ranking.
 PROFILE = 400
@@ -106,16 +106,14 @@ class Profiles:
 
 
 def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = TRAIN_BYTES, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages of ``labelled`` rows; rows without language or text are passed over."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
+    """Profiles of the languages of ``labelled`` rows, of all languages that have some text; rows
+    without language or text are passed over. Pieces may be cut within a word."""
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    if not sizes:
+    sample, share = sampled_pieces(rows, "lang", train_bytes)
+    if not share:
         return Profiles({}, size)
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= share_threshold(train_bytes / max(1, r["b"]))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -127,7 +125,7 @@ def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array(list(counter), pa.int64()), pa.array(list(counter.values()), pa.int64())], names=["lang", "gram", "n"])
 
     blank = F.lit(2 << 60).cast("long")  # two blanks are no n-gram
-    totals = rows.where(chosen).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").where(F.col("gram") != blank).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").where(F.col("gram") != blank).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = totals.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
     rankings: dict[str, list[tuple[int, int]]] = {}
     for r in ranked.select("lang", "gram", "r").collect():  # PROFILE rows a language
@@ -139,7 +137,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """id, the columns of ``keep``, lang_pred and score of every row.
 
     Score is one less the distance's share of the largest possible. Null texts and texts without a
-    letter are ``und`` with score 0; ties go to the first language by code point; repeated rows are
+    letter are ``und`` with score 0; long texts are read whole, piece by piece; ties go to the first language by code point; repeated rows are
     predicted alike; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
