@@ -5,9 +5,10 @@ on the Hilbert curve through that grid, and runs of the curve are cut into shard
 bytes. Neighbours on the curve are alike in every dimension at once, so a reader that filters on any
 of them can skip most shards by their minima and maxima.
 
-Scale: only ids, sizes and cells are shuffled, never texts. Rows are grouped into blocks
-``(cell, part)``; a cell that holds a third of all rows is divided into as many parts as its rows
-need. Prefix sums are taken over block totals first (at most ``2 ** (bits * dims)`` cells, then the
+Scale: only ids, sizes and cells are shuffled, and texts just where whole rows are wanted. Rows are
+grouped into blocks ``(cell, part)`` by a hash of their text; a cell that holds a third of all rows is
+divided into as many parts as its rows need, and a text that fills more than a block is spread over
+several. Prefix sums are taken over block totals first (at most ``2 ** (bits * dims)`` cells, then the
 parts of one cell), and only then inside each block.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import written
+from lexloom.llm.common import spread, written
 
 #: Rows that one block holds on average at most.
 BLOCK_ROWS = 50_000
@@ -76,12 +77,25 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(k) for k in range(bits - 1, -1, -1)]), start, step)["h"]
 
 
-def ordered_code(column: Column, kind: str) -> Column:
-    """A number in the order of the values: numbers are themselves, strings their first 7 bytes."""
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return column.cast("double")
+def cuts_of(docs: DataFrame, column: str, kind: str, bits: int) -> list:
+    """Values at which the cells of a dimension begin, at most ``2 ** bits - 1``.
+
+    Numbers are cut at approximate quantiles, strings at those of their distinct values, counted and
+    added up in the order of the strings themselves, range by range."""
+    share = [i / (1 << bits) for i in range(1, 1 << bits)]
+    if kind != "string":
+        return sorted(set(docs.agg(F.percentile_approx(F.col(f"`{column}`").cast("double"), share, 10_000)).first()[0] or []))
+    counts = docs.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null")
+    counts = written(written(counts, "shards-values").repartitionByRange("v").withColumn("part", F.spark_partition_id()), "shards-ranges")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("p"))  # one row a range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("before"), F.sum("p").over(Window.partitionBy(F.lit(0))).alias("total"))
+    run = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(sums), "part").withColumn("stop", F.col("before") + F.sum("n").over(run))
+    cell = lambda x: F.floor(x * (1 << bits) / F.col("total"))
+    # a cell begins with the value behind the first that reaches its share
+    firsts = placed.where(cell(F.col("stop") - F.col("n")) < cell(F.col("stop"))).select("v")
+    return sorted(r["v"] for r in firsts.collect())
 
 
 def shard_hilbert(
@@ -99,38 +113,38 @@ def shard_hilbert(
 
     Shards hold nearly equal bytes: a document goes where the middle of its bytes falls, so a shard
     is off its share by less than the largest document. A null text is of size 16 with crc32 null; a
-    null coordinate is in cell 0. Ties in the cell are ordered by a hash of id and content, then by
-    id and size, so equal texts may part only where a cut falls between them; repeated rows are
-    alike and take neighbouring slots. An empty table gives no rows."""
+    null coordinate is in cell 0. Rows of a cell are ordered by a hash of their text, then by id, so
+    equal texts of a cell part only where a cut falls between them; repeated rows are alike and take
+    neighbouring slots. Long texts count whole. An empty table gives no rows."""
     kinds = dict(docs.dtypes)
-    # only metadata is read for the quantiles
-    codes = [ordered_code(F.col(d), kinds[d]) for d in dims]
-    share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = docs.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, share, 10_000).alias(f"q{i}") for i, c in enumerate(codes)]).first()
-    total_rows = found["n"]
+    cuts = [cuts_of(docs, d, kinds[d], bits) for d in dims]  # only metadata is read for the quantiles
 
-    def cell(i: int, code: Column) -> Column:
-        cuts = sorted(set(found[f"q{i}"] or []))
-        if not cuts:
+    def cell(i: int) -> Column:
+        if not cuts[i]:
             return F.lit(0)
-        return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= code)), F.lit(0))
+        value = F.col(f"`{dims[i]}`") if kinds[dims[i]] == "string" else F.col(f"`{dims[i]}`").cast("double")
+        over = (lambda x: x < value) if kinds[dims[i]] == "string" else (lambda x: x <= value)
+        return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts[i]]), over)), F.lit(0))
 
     text = F.col(text_col)
     base = docs.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        *[F.when(c.isNull(), 0).otherwise(cell(i, c)).alias(f"c{i}") for i, c in enumerate(codes)],
+        F.xxhash64(F.coalesce(text, F.lit("\u0000null"))).alias("tie"),
+        *[F.when(F.col(f"`{d}`").isNull(), 0).otherwise(cell(i)).alias(f"c{i}") for i, d in enumerate(dims)],
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    parts = max(1, -(-total_rows // block_rows))
-    base = base.withColumn("cell", hilbert_index([F.col(f"c{i}") for i in range(len(dims))], bits))
-    base = base.withColumn("tie", F.xxhash64("id", "crc", "size"))
+    base = base.withColumn("cell", hilbert_index([F.col(f"c{i}") for i in range(len(dims))], bits)).withColumn("uid", F.monotonically_increasing_id())
+    base = base.select("row", "id", "size", "crc", "cell", "tie", "uid")
+    # texts are read once for all but the rows themselves
+    slim = written(base if whole else base.drop("row"), "shards")
+    parts = max(1, -(-slim.count() // block_rows))
     # the part follows the order of the tie, so blocks are runs of one total order
-    base = base.select("row", "id", "size", "crc", "cell", "tie", F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * parts).cast("long").alias("part"))
-
-    slim = written(base.drop("row"), "shards")  # texts are read once for all but the rows themselves
-    blocks = slim.groupBy("cell", "part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
+    slim = slim.withColumn("part", F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * parts).cast("long"))
+    slim = spread(slim, ["cell"], "part", "tie", "uid", block_rows)
+    block = ["cell", "part", "hot", "sub"]
+    blocks = slim.groupBy(*block).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
     cells = blocks.groupBy("cell").agg(F.sum("b").alias("cb"), F.sum("r").alias("cr"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** (bits * dims) rows
     everything = Window.partitionBy(F.lit(0))
@@ -141,24 +155,28 @@ def shard_hilbert(
         F.coalesce(F.sum("cr").over(before), zero).alias("cell_r"),
         F.sum("cb").over(everything).alias("all_b"),
     )
-    inside = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("cell").orderBy("part", F.asc_nulls_first("hot"), "sub").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.join(cells, "cell").select(
-        "cell",
-        "part",
+        *block,
         "all_b",
         (F.col("cell_b") + F.coalesce(F.sum("b").over(inside), zero)).alias("off_b"),
         (F.col("cell_r") + F.coalesce(F.sum("r").over(inside), zero)).alias("off_r"),
     )
-    run = Window.partitionBy("cell", "part").orderBy("tie", "crc", "id", "size")
+    blocks = blocks.select(*[F.col(c).alias(f"o_{c}") for c in block], "all_b", "off_b", "off_r")
+    run = Window.partitionBy(*block).orderBy("tie", "id", "uid")
     # twice the middle of the row's bytes, in whole numbers
     middle = 2 * (F.col("off_b") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0))) - F.col("size")
 
-    def placed(rows: DataFrame, keep: list[str]) -> DataFrame:
-        at = rows.join(blocks.hint("shuffle_hash"), ["cell", "part"]).select(*keep, "id", "size", "crc", "cell", (F.col("off_r") + F.row_number().over(run) - 1).alias("rank"), middle.alias("middle"), "all_b")
+    same = F.lit(True)
+    for c in block:
+        same = same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+
+    def placed(keep: list[str]) -> DataFrame:
+        at = slim.join(blocks.hint("shuffle_hash"), same).select(*keep, "id", "size", "crc", "cell", (F.col("off_r") + F.row_number().over(run) - 1).alias("rank"), middle.alias("middle"), "all_b")
         return at.select(*keep, "id", "size", "crc", "cell", "rank", F.least(F.lit(shards - 1), F.expr(f"cast((middle * {shards}) div (2 * all_b) as int)")).alias("shard"))
 
-    firsts = placed(slim, []).groupBy("shard").agg(F.min("rank").alias("first"))  # one row per shard
-    out = placed(base if whole else slim, ["row"] if whole else []).join(F.broadcast(firsts), "shard")
+    firsts = placed([]).groupBy("shard").agg(F.min("rank").alias("first"))  # one row per shard
+    out = placed(["row"] if whole else []).join(F.broadcast(firsts), "shard")
     made = {"size": F.col("size"), "text_crc32": F.col("crc"), "cell": F.col("cell"), "shard": F.col("shard"), "slot": F.col("rank") - F.col("first")}
     if not whole:
         return out.select(F.col("id").alias(id_col), *[c.alias(n) for n, c in made.items()])
