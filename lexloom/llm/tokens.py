@@ -1,12 +1,16 @@
 """Token counts by overlap resynchronisation.
 
 A long document is encoded in overlapping chunks, each with the offsets of its tokens. Two chunks are
-spliced where both have a token boundary that is proven stable: a blank that follows a non-blank,
-where every word-wise tokenizer of this kind starts a new word whatever came before, and far enough
-from the end of the earlier chunk that the cut there can't reach it. If the overlap has no such
-boundary, it is widened, up to the rest of the document. Counts equal those of the whole text.
-
-The vocabulary is read from its file on each worker. Its path is a parameter.
+spliced where both have a token boundary that is proven stable: between a word and white space or a
+line break and a word, or where letters, digits and other signs change, the tokenizer's first pass
+cuts whatever came before (an apostrophe excepted); and far enough from the end of the earlier chunk
+that the cut there can't reach it. The overlap is widened to reach such a place. A chunk without any
+is doubled, so that a text that has none costs at most about twice its plain encoding. Counts equal
+those of the whole text.
+
+What is proven holds for byte-level BPE with the usual first pass. The file says whether it is that;
+other ``.json`` files are run whole by ``tokenizers``, and ``.model`` files by ``sentencepiece``. The
+vocabulary is read from its file on each worker. Its path is a parameter.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +54,8 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        if data["model"]["type"] != "BPE" or data.get("normalizer"):
-            raise ValueError("a byte-level BPE without normalizer is needed")
+        if not byte_level(data):
+            raise ValueError("a byte-level BPE without normalizer and with the usual first pass is needed")
         alphabet = _byte_alphabet()
         special = {x["content"]: x["id"] for x in data["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
@@ -71,14 +76,50 @@ class ByteBpe:
         return np.concatenate(([0], np.cumsum(self.lengths[np.array(self.encode(text), dtype=np.int64)])))
 
 
+def byte_level(data: dict) -> bool:
+    """Whether a tokenizer's file is of the kind that ``ByteBpe`` and its stable places hold for."""
+    first, model = data.get("pre_tokenizer") or {}, data.get("model") or {}
+    usual = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", False)
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    marks = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) or t["content"] in model.get("vocab", {}) for t in data.get("added_tokens", []))
+    return model.get("type") == "BPE" and usual and plain and marks and not data.get("normalizer")
+
+
+class Whole:
+    """Any other tokenizer, run over whole texts by its own library."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            run = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda text: run.encode(text, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            own.no_truncation()
+            own.no_padding()
+            self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
+
+
 @lru_cache(maxsize=4)
-def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def load(path: str) -> ByteBpe | Whole:
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            if byte_level(json.load(f)):
+                return ByteBpe(path)
+    return Whole(path)
+
+
+_STABLE = regex.compile(
+    r"(?<=\S)(?=\s)|(?<=[^\S ])(?=\S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+)
 
 
 def _stable(text: str, start: int, stop: int) -> list[int]:
-    """Places in ``text[start:stop]`` with a blank after a non-blank: a word starts there for sure."""
-    return [i for i in range(max(1, start), stop) if text[i] == " " and not text[i - 1].isspace()]
+    """Places in ``text[start:stop]`` where a token starts for sure."""
+    return [m.start() for m in _STABLE.finditer(text, max(1, start), stop) if m.start() < stop]
 
 
 def splice(left: str, left_ends: np.ndarray, right: str, right_ends: np.ndarray, shift: int, margin: int = MARGIN) -> tuple[int, int] | None:
@@ -93,42 +134,42 @@ def splice(left: str, left_ends: np.ndarray, right: str, right_ends: np.ndarray,
     return None
 
 
-def count_tokens(text: str, model: ByteBpe, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
+def _reach(text: str, overlap: int, margin: int) -> int | None:
+    """The overlap that has a stable place: ``overlap``, or wider; None if there is no such place."""
+    n, wide = len(text), overlap
+    while wide < n:
+        if _stable(text, n - wide + 1, n - margin):
+            return wide
+        wide *= 2
+    places = _stable(text, 1, n - margin)
+    return n - places[-1] + 1 if places and n - places[-1] + 1 < n else None
+
+
+def count_tokens(text: str, model: ByteBpe | Whole, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
     """Number of tokens of the whole text."""
-    if len(text) <= chunk:
+    if len(text) <= chunk or isinstance(model, Whole):
         return len(model.encode(text))
-    total, start, skip = 0, 0, 0  # tokens counted; where this chunk starts; its tokens already counted
-    stop = chunk
-    here = text[start:stop]
-    ends = model.boundaries(here)
-    while stop < len(text):
-        wide, step = overlap, None
-        while step is None:
-            begin = stop - wide
-            if begin <= start:  # no common boundary in all of the chunk: take the chunk longer
-                stop = min(len(text), stop + chunk)
-                here = text[start:stop]
-                ends, wide = model.boundaries(here), overlap
-                if stop == len(text):
-                    break
-                continue
-            then = text[begin : min(len(text), begin + chunk)]
-            if len(then) <= wide:  # the widened overlap would cover the next chunk
-                stop = min(len(text), stop + chunk)
-                here = text[start:stop]
-                ends, wide = model.boundaries(here), overlap
-                if stop == len(text):
-                    break
-                continue
-            then_ends = model.boundaries(then)
-            step = splice(here, ends, then, then_ends, begin - start, margin)
-            wide *= 2
-        if step is None:
-            break
+    total, start, skip, size, extra = 0, 0, 0, chunk, overlap  # skip: tokens of this chunk already counted
+    while True:
+        here = text[start : start + size]
+        if start + size >= len(text):
+            return total + len(model.encode(here)) - skip
+        wide = _reach(here, extra, margin)
+        if wide is None:
+            size, extra = 2 * size, overlap
+            continue
+        ends = model.boundaries(here)
+        begin = start + size - wide
+        then = text[begin : begin + max(chunk, 2 * wide)]
+        step = splice(here, ends, then, model.boundaries(then), begin - start, margin)
+        if step is None:  # stable places, but none that both chunks have: look further back
+            if extra * 4 < size:
+                extra *= 4
+            else:
+                size, extra = 2 * size, overlap
+            continue
         total += step[0] - skip
-        skip, start, here, ends = step[1], begin, then, then_ends
-        stop = start + len(here)
-    return total + len(ends) - 1 - skip
+        skip, start, size, extra = step[1], begin, max(chunk, 2 * wide), overlap
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
