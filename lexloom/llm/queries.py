@@ -95,7 +95,7 @@ ORACLES: dict[str, str] = {
                    FROM d, n, unnest(range(1, len(w) - n + 2)) AS u(i)),
              h AS (SELECT doc_id, p.n, i, item_id FROM p JOIN g ON p.n = g.n AND p.txt = g.txt),
              c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + n)) AS u(j) GROUP BY doc_id),
-             t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM h GROUP BY doc_id)
+             t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, coalesce(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR) FILTER (item_id IS NOT NULL)), ','), '') AS ids FROM h GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
