@@ -484,23 +484,24 @@ def brute_hits(text, items, width=10):
     words, hit, found = split(text), set(), set()
     for item, body in items:
         w = split(body)
-        if item is None or not w:
+        if not w:
             continue
         n = min(width, len(w))
         grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
         for i in range(len(words) - n + 1):
             if tuple(words[i : i + n]) in grams:
                 hit.update(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} - {"None"}
     return len(words), sorted(hit), sorted(found)
 
 
-def test_decontamination(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SET_WINDOWS", 3)
+@pytest.mark.parametrize("set_bytes", [decontaminate.SET_BYTES, 0])
+def test_decontamination(spark, monkeypatch, set_bytes):
+    monkeypatch.setattr(decontaminate, "SET_BYTES", set_bytes)
     long = " ".join(f"w{i}" for i in range(30))
-    items = [(1, long), (10, "short one"), (2, "Hello, GENERAL"), (3, None), (4, ""), (5, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (10, "again 'quoted\" \\ words"), (6, "word word word word word word word word word word word")]
+    items = [(1, long), (10, "short one"), (2, "Hello, GENERAL"), (3, None), (4, ""), (5, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (10, "again 'quoted\" \\ words"), (6, "word word word word word word word word word word word"), (None, "an item without any id of its own but with twelve words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    more = [(20, "x " + long.upper() + " y short; one", "en", "a"), (21, "w3 w4 w5 w6 w7 w8 w9 w10 w11", "en", "a"), (22, "Again quoted words w3-w4-w5-w6-w7-w8-w9-w10-w11-w12", "en", "a")]
+    more = [(20, "x " + long.upper() + " y short; one", "en", "a"), (21, "w3 w4 w5 w6 w7 w8 w9 w10 w11", "en", "a"), (23, "see: an item without any id of its own but with twelve.", "en", "a"), (24, "an item without any id of its own but", "en", "a"), (22, "Again quoted words w3-w4-w5-w6-w7-w8-w9-w10-w11-w12", "en", "a")]
     docs = frame(spark, AWKWARD + more)
     rows = as_dicts(decontaminate.contamination(docs, bench, prefix="__"))
     assert Counter((r["doc_id"], r["__n_words"], tuple(sorted(r["__hits"])), tuple(r["__items"])) for r in rows) == Counter((i, *map(lambda x: tuple(x) if isinstance(x, list) else x, brute_hits(t, items))) for i, t, _, _ in AWKWARD + more)
