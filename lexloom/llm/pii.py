@@ -225,6 +225,13 @@ def _slots(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str) ->
         places = F.transform("c", lambda x, i: i + 1)
     else:
         places = F.filter(F.transform("c", lambda x, i: F.when(x.isin(few), i + 1)), lambda i: i.isNotNull())
+        if patterns.count() <= SET_PATTERNS:  # what is in no slot needn't leave its row
+            hashes = [r[0] for r in patterns.select(F.xxhash64("pattern")).distinct().collect()]
+            word = lambda i: F.coalesce(F.get(F.col("c"), i), F.lit(""))
+            left = lambda i: F.xxhash64(F.concat_ws(" ", F.lit("l"), word(i - 2), word(i - 1)))
+            around = lambda i: F.xxhash64(F.concat_ws(" ", F.lit("s"), word(i - 1), F.lit("_"), word(i + 1)))
+            mask = lambda i: word(i - 2).contains(_MASK) | word(i + 1).contains(_MASK)
+            places = F.filter(places, lambda i: left(i).isin(hashes) | around(i).isin(hashes) | mask(i))
     # words without digits read the same as context
     plain = F.filter(places, lambda i: ~F.coalesce(F.get(F.col("c"), i), F.lit("")).rlike(r"[0@\x{e000}\x{e001}]|^$"))
     found = F.transform(plain, lambda i: F.struct(i.alias("i"), F.get(F.col("c"), i).alias("s"), *_around(i)))
