@@ -94,11 +94,14 @@ def _best(full: bool = True) -> str:
 
 
 _PLAIN = r"list_filter(list_transform(regexp_extract_all({0} || chr(10), '[^.!?\n]*[.!?\n]'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')"
-_HASH = """WITH RECURSIVE h AS (
-      SELECT word, 0::BIGINT AS i, 0::BIGINT AS h FROM w
-      UNION ALL
-      SELECT word, i + 1, ((h * 37 + unicode(word[(i + 1)::INTEGER]) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 FROM h WHERE i < length(word))
-    SELECT word, abs(h) AS bucket FROM h WHERE i = length(word)"""
+def _rolling(xs: str, start: str, weight: int) -> str:
+    return f"list_reduce(list_prepend({start}, {xs}), lambda h, x: ((h * {weight} + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
+
+
+#: The rolling hash of a list of units ``xs``: the first 15, then a stride of the others.
+_HASH = f"abs({_rolling('list_transform(range(16, len(xs) + 1, greatest(1, len(xs) // 16)), lambda p: xs[p])', _rolling('xs[1:15]', '0::BIGINT', 37), 39)})::BIGINT"
+_UNITS = "CASE WHEN sentence = '' THEN []::BIGINT[] ELSE list_transform(range(1, length(sentence) + 1), lambda i: unicode(sentence[i])::BIGINT) END"
+_BYTES = "list_transform(range(1, length(hex(encode(word))), 2), lambda i: CASE WHEN hex(encode(word))[i] >= '8' THEN ('0x' || hex(encode(word))[i : i + 1])::BIGINT - 256 ELSE ('0x' || hex(encode(word))[i : i + 1])::BIGINT END)"
 _SIGNATURE = "CASE WHEN length(t) < 4 THEN t WHEN length(t) - 3 <= 32 THEN '456789abcdefghijklmnopqrstuvwxyz'[length(t) - 3] ELSE '0' END"
 
 ORACLES: dict[str, str] = {
@@ -140,7 +143,8 @@ ORACLES: dict[str, str] = {
         SELECT sent_id, source_id, (epoch(tok.date::DATE)::BIGINT // 60)::INTEGER AS ts_min, coalesce(ids, '') AS word_ids
         FROM tok JOIN sources ON tok.location = sources.source AND tok.date = sources.date LEFT JOIN ids USING (sent_id)""",
     "word_length_signature": f"WITH {_TOKENS} SELECT sent_id, array_to_string(list_transform(ts, lambda t: {_SIGNATURE}), '') AS signature FROM tok",
-    "bucket_hash": f"WITH {_TOKENS}, w AS (SELECT word FROM freq WHERE regexp_matches(word, '^[A-Za-z]{{1,15}}$')), r AS ({_HASH}) SELECT word, bucket FROM r",
+    "bucket_hash": f"WITH {_TOKENS}, u AS (SELECT word, {_BYTES} AS xs FROM freq) SELECT word, {_HASH} AS bucket FROM u",
+    "string_hash": f"WITH {_LINES}, u AS (SELECT doc_id, sent_ord, {_UNITS} AS xs FROM lines) SELECT doc_id, sent_ord, {_HASH} AS hash FROM u",
     "mwu_count": f"""WITH {_TOKENS}, u(unit, n) AS (VALUES ('of the', 2), ('in the', 2), ('de la', 2), ('and the of', 3), ('la de la', 3)),
         g AS (SELECT ts, unit, n, unnest(range(0, greatest(0, len(ts) - n + 1))) AS pos FROM tok, u)
         SELECT unit, count(*)::BIGINT AS n, sum(pos)::BIGINT AS pos_sum FROM g WHERE array_to_string(ts[pos + 1 : pos + n], ' ') = unit GROUP BY unit""",

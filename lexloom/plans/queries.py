@@ -261,8 +261,7 @@ def string_hash(spark, sf_dir):
 
 @query
 def bucket_hash(spark, sf_dir):
-    """Short ASCII words, whose bytes are their code points."""
-    words = vocabulary.word_frequencies(tokenized_rows(spark, sf_dir)).where(F.col("word").rlike("^[A-Za-z]{1,15}$"))
+    words = vocabulary.word_frequencies(tokenized_rows(spark, sf_dir))
     return words.select("word", hashing.bucket_id(F.col("word")).alias("bucket"))
 
 

@@ -30,7 +30,7 @@ def medusa_line(sentence: Column, date: Column, location: Column) -> Column:
 
 def write_text(lines: DataFrame, path: str, order: list[str] = (), single: bool = False, mode: str = "error") -> None:
     """The column line, in order within each file."""
-    df = lines.coalesce(1) if single else (lines.repartitionByRange(*order) if order else lines)
+    df = lines.repartition(1) if single else (lines.repartitionByRange(*order) if order else lines)
     df = df.sortWithinPartitions(*order) if order else df
     df.select("line").write.mode(mode).text(path)
 

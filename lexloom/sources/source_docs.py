@@ -178,7 +178,7 @@ def write_source(df: DataFrame, path: str, order: list[str] | None = None, singl
     order = order if order is not None else [c for c in ("path", "doc_ord") if c in df.columns]
     extra = F.col("extra") if "extra" in df.columns else None
     keys = partition_by or []
-    df = df.coalesce(1) if single else (df.repartitionByRange(*order) if order and not keys else df)
+    df = df.repartition(1) if single else (df.repartitionByRange(*order) if order and not keys else df)
     if order or keys:
         df = df.sortWithinPartitions(*keys, *order)
     df.select(*keys, source_text(F.col("location"), F.col("date"), F.col("content"), extra).alias("value")).write.mode(mode).partitionBy(*keys).text(path)

@@ -11,6 +11,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,7 @@ class WarcReader(DataSourceReader):
 
 
 def record_bytes(location: str | None, date: str | None, content: bytes, record_type: str = "conversion", refers_to: str | None = None) -> bytes:
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%d")
     digest = "sha1:" + base64.b32encode(hashlib.sha1(content).digest()).decode()
     head = {
         "WARC-Type": record_type,
@@ -201,7 +203,7 @@ def read_warc(spark: SparkSession, path: str, record_types: tuple[str, ...] = DE
 def write_warc(df: DataFrame, path: str, write_empty: bool = False, single: bool = False, **options) -> None:
     df.sparkSession.dataSource.register(Warc)
     order = [c for c in ("path", "doc_ord") if c in df.columns]
-    df = df.coalesce(1) if single else df
+    df = df.repartition(1) if single else df
     df = df.sortWithinPartitions(*order) if order else df
     df = df.select("location", "date", "content", *[c for c in ("record_id",) if c in df.columns])
     df.write.format("warc_records").options(writeEmpty=str(write_empty).lower(), **options).mode("append").save(path)

@@ -9,7 +9,7 @@ from lexloom.plans.oracles import ORACLES
 from lexloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["lines_flatten", "clean_survivors", "clean_first_rule", "clean_nested", "doc_stats", "known_word_remap", "sentence_index", "bucket_hash", "lani_best", "language_split_counts", "segment_plain", "align_glue", "split_by_bytes", "top_sources"]
+SAMPLE = ["lines_flatten", "clean_survivors", "clean_first_rule", "clean_nested", "doc_stats", "known_word_remap", "sentence_index", "bucket_hash", "string_hash", "lani_best", "language_split_counts", "segment_plain", "align_glue", "split_by_bytes", "top_sources"]
 
 
 def test_every_oracle_has_a_query():

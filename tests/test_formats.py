@@ -172,3 +172,12 @@ def test_command_line(source_file, tmp_path, spark):
     assert len(text_of(tmp_path / "o.medusa").splitlines()) >= 4
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+
+
+def test_a_record_without_date_is_of_today():
+    from datetime import datetime, timezone
+
+    from lexloom.sources.warc import record_bytes
+
+    day = datetime.now(timezone.utc).strftime("%Y-%m-%d")
+    assert f"WARC-Date: {day}T00:00:00Z".encode() in record_bytes("http://a.example", None, b"x")
