@@ -12,7 +12,8 @@ are spans of that kind.
 What a slot holds is a whole base entity, a run of identifier-like tokens (those with a digit or an at
 sign; only tokens without letters join, as those of phones and cards do), or any other word. Runs are
 marked wherever they stand, for the score that their patterns give them; words without digit or at
-sign only in the slot of a confident pattern.
+sign only in the slot of a confident pattern, and only if there is a sign between their letters: words
+of letters alone count against a pattern, but are no identifiers.
 
 Scale: texts are read once for the seeds and runs, which are a slim written table, and once a round in
 which patterns are new, for the other words in their slots. All else is grouped by pattern or by
@@ -295,6 +296,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         # a string's score: one less the chance that all of its patterns are wrong
         miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))
         strings = checked_join(edges, patterns, "pattern", "inner").groupBy("string", "k").agg((1 - miss).alias("score")).where(F.col("score") >= confidence)
+        strings = strings.where(F.col("string").rlike(r"[^\p{L}]"))  # plain words count in slots, but are no identifiers
         top = strings.groupBy("string").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("k").alias("k"))).alias("b")).select("string", F.col("b.k").alias("k"))
         if best is not None:
             drop(best)
