@@ -35,9 +35,6 @@ NAMES = (*KINDS, "secret")
 CONFIDENCE = 0.5
 #: Least number of different known strings behind a pattern.
 SUPPORT = 3
-#: Patterns up to which texts are searched for the words before their slots; beyond, all words are
-#: joined with the patterns.
-SET_PATTERNS = 20_000
 
 # Possessive forms that match what the plain greedy ones do: no class overlaps with what follows it.
 # A search may start where the last match ended or where a run starts, so that long runs are linear.
@@ -50,6 +47,8 @@ _FORMS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 _GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: Words, and line breaks, which are words of their own.
 _WORD = r"[^\x20\x09-\x0D]++|[\x0A-\x0D]"
+#: Words with an entity in them; a search starts where a word does, so that long words are linear.
+_MASKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\x{e000}]*+\x{e000}[^\x20\x09-\x0D]*+"
 #: Private signs: around the number of a base entity, which is one word or part of one; a line break.
 _MASK, _BREAK = "\ue000", "\ue001"
 _SECRET = r"^[^\p{L}\p{N}]*+(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}[^\p{L}\p{N}]*$"
@@ -159,17 +158,20 @@ def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(F.concat(F.lit("\n"), text), r"[\x0A\x0D]", f" {_BREAK} "), r"[\x20\x09-\x0D]+")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, t, base, apart and masked of all rows."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), text.alias("t"))
-    rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("apart", _apart(F.col("base")))
+    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), text.alias("t"))
+
+
+def _rows(texts: DataFrame) -> DataFrame:
+    """id, text_key, t, base, apart and masked of all rows of ``_texts``, and what else they have."""
+    rows = texts.withColumn("base", base_spans(F.col("t"))).withColumn("apart", _apart(F.col("base")))
     return rows.withColumn("masked", _masked(F.col("t"), F.col("apart"), lambda i, n: F.concat(F.lit(_MASK), i.cast("string"), F.lit(_MASK))))
 
 
 def _contexts(masked: Column) -> Column:
     """The words as context: in lower case, digits as 0."""
-    return _words(F.translate(F.lower(masked), "123456789", "000000000"))
+    return _words(F.regexp_replace(F.lower(masked), "[1-9]", "0"))
 
 
 def _around(i: Column) -> list[Column]:
@@ -215,28 +217,32 @@ def _patterns(x: Column, string: Column | None = None) -> Column:
     return F.array_compact(F.array(left, around, *shape))
 
 
+def _hash(kind: str, *words: Column) -> Column:
+    return F.xxhash64(F.lit(kind), *words)
+
+
 def _slots(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, i, string, pattern: words without digit or at sign in the slots of patterns."""
-    rows = _rows(docs, id_col, text_col).select("id", "text_key", _contexts(F.col("masked")).alias("c"), F.monotonically_increasing_id().alias("u"))
-    # ``u`` isn't deterministic: filters aren't pushed below, where they would split texts again
+    """id, text_key, i, string, pattern: words without digit or at sign in the slots of patterns.
+
+    Every word is a row with the two hashes of what stands around it. Only those whose hash is that
+    of a pattern are looked at further, and the patterns compared."""
+    masked = F.when(F.col("masked").contains(_MASK), F.regexp_replace("masked", _MASKED, _MASK)).otherwise(F.col("masked"))
+    rows = _rows(_texts(docs, id_col, text_col)).select("id", "text_key", masked.alias("masked")).select("id", "text_key", _contexts(F.col("masked")).alias("c"))
+    shifted = [F.slice("c", k, F.size("c")).alias(name) for k, name in ((2, "l1"), (3, "s"), (4, "r1"))]
+    # of an inner explode a filter is inferred, which is pushed below and splits the texts again
+    words = rows.select("id", "text_key", F.posexplode_outer(F.arrays_zip(F.col("c").alias("l2"), *shifted)).alias("p", "x"))
+    words = words.select("id", "text_key", (F.col("p") + 2).alias("i"), "x.*")
+    words = words.withColumns({"left": _hash("l", F.col("l2"), F.col("l1")), "around": _hash("s", F.col("l1"), F.col("r1"))})
     parts = F.split("pattern", " ")
-    first = F.when(F.col("pattern").startswith("l "), F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1)))
-    few = [r[0] for r in patterns.select(first.alias("f")).distinct().limit(SET_PATTERNS + 1).collect()]
-    if len(few) > SET_PATTERNS or _MASK in few:
-        places = F.transform("c", lambda x, i: i + 1)
-    else:
-        places = F.filter(F.transform("c", lambda x, i: F.when(x.isin(few), i + 1)), lambda i: i.isNotNull())
-        if patterns.count() <= SET_PATTERNS:  # what is in no slot needn't leave its row
-            hashes = [r[0] for r in patterns.select(F.xxhash64("pattern")).distinct().collect()]
-            word = lambda i: F.coalesce(F.get(F.col("c"), i), F.lit(""))
-            left = lambda i: F.xxhash64(F.concat_ws(" ", F.lit("l"), word(i - 2), word(i - 1)))
-            around = lambda i: F.xxhash64(F.concat_ws(" ", F.lit("s"), word(i - 1), F.lit("_"), word(i + 1)))
-            mask = lambda i: word(i - 2).contains(_MASK) | word(i + 1).contains(_MASK)
-            places = F.filter(places, lambda i: left(i).isin(hashes) | around(i).isin(hashes) | mask(i))
-    # words without digits read the same as context
-    plain = F.filter(places, lambda i: ~F.coalesce(F.get(F.col("c"), i), F.lit("")).rlike(r"[0@\x{e000}\x{e001}]|^$"))
-    found = F.transform(plain, lambda i: F.struct(i.alias("i"), F.get(F.col("c"), i).alias("s"), *_around(i)))
-    each = rows.select("id", "text_key", F.explode(F.when(F.col("u") >= 0, found)).alias("x")).select("id", "text_key", "x.i", _own(F.col("x.s")).alias("string"), F.explode(_patterns(F.col("x"))).alias("pattern"))
+    left = _hash("l", F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))
+    around = _hash("s", F.get(parts, F.lit(1)), F.get(parts, F.lit(3)))
+    hashes = patterns.select(F.when(F.col("pattern").startswith("l "), left).otherwise(around).alias("h")).distinct()
+    for name in ("left", "around"):
+        words = checked_join(words, hashes.select(F.col("h").alias(name), F.lit(True).alias(f"is_{name}")), name)
+    hit = F.coalesce(F.col("is_left"), F.col("is_around"))
+    # words without digits read the same as context; what depends on ``hit`` isn't worked out for others
+    found = words.where(F.when(hit, ~F.col("s").rlike(r"[0@\x{e000}\x{e001}]|^$")))
+    each = found.select("id", "text_key", "i", F.when(hit, _own(F.col("s"))).alias("string"), F.explode(F.when(hit, _patterns(F.struct("l2", "l1", "r1")))).alias("pattern"))
     return checked_join(each.where("string != ''"), patterns.select("pattern").distinct(), "pattern", "inner")
 
 
@@ -245,7 +251,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
     Null counts as empty and has no spans; words are whole, however long. Repeated rows have the same
     spans; strings at several places are spans at each. An empty table gives no rows."""
-    rows = _rows(docs, id_col, text_col)
+    rows = _rows(_texts(docs, id_col, text_col))
     focus = F.col("t").rlike("[0-9@]")
     rows = rows.withColumns({"w": F.when(focus, _words(F.col("masked"))), "c": F.when(focus, _contexts(F.col("masked")))})
     places = F.filter(F.transform("c", lambda x, i: F.when(x.rlike(r"[0@\x{e000}]"), i)), lambda i: i.isNotNull())
@@ -328,7 +334,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     marks = marks.groupBy(F.col("id").alias("m_id"), F.col("text_key").alias("m_key")).agg(F.collect_set(F.struct("i", "j", "k")).alias("m"))
     marks = written(marks, "pii-marks")
     # only in texts with marks the places of words are worked out
-    texts = checked_join(_rows(docs, id_col, text_col), marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "inner")
+    texts = _rows(checked_join(_texts(docs, id_col, text_col), marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "inner"))
     same = _masked(F.col("t"), F.col("apart"), lambda i, n: F.repeat(F.lit(_MASK), n))
     texts = texts.select("id", "text_key", "m", same.alias("masked")).withColumn("w", _located(F.col("masked"), _WORD))
     place = lambda i: F.get(F.col("w"), i - 2)  # noqa: E731  an empty word and a line break stand before the text
