@@ -43,12 +43,17 @@ def write_medusa(df: DataFrame, path: str, order: list[str] | None = None, **opt
     write_text(df.withColumn("line", medusa_line(F.col("sentence"), F.col("date"), F.col("location"))), path, order, **options)
 
 
+def parsed_json(line: str, schema: str) -> Column:
+    """A line's fields. By default a string of over 20 million characters makes all of them null."""
+    return F.from_json(line, schema, {"maxStringLen": str(2**31 - 1)})
+
+
 def read_document_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """path, location, date, content, extra_meta of lines that are JSON and have the first three keys."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     keys = F.json_object_keys("value")
     good = raw.where(F.array_contains(keys, "location") & F.array_contains(keys, "date") & F.array_contains(keys, "content"))
-    parsed = good.select("path", F.from_json("value", "location string, date string, content string, extra_meta array<string>").alias("d"))
+    parsed = good.select("path", parsed_json("value", "location string, date string, content string, extra_meta array<string>").alias("d"))
     return parsed.select("path", "d.*")
 
 
@@ -60,7 +65,7 @@ def read_sentence_jsonl(spark: SparkSession, path: str, single: bool = False) ->
     keys = F.json_object_keys("value")
     has = lambda k: F.array_contains(keys, k)
     good = raw.where(has("location") & has("date") & (has("sentence") | has("sentences")))
-    parsed = good.select("path", has("sentence").alias("one"), F.from_json("value", "location string, date string, sentence string, sentences array<string>").alias("d"))
+    parsed = good.select("path", has("sentence").alias("one"), parsed_json("value", "location string, date string, sentence string, sentences array<string>").alias("d"))
     nested = parsed.select("path", "d.location", "d.date", F.when(F.col("one"), F.array("d.sentence")).otherwise(F.col("d.sentences")).alias("sentences"))
     return nested.select("path", "location", "date", F.posexplode("sentences").alias("sent_ord", "sentence")) if single else nested
 

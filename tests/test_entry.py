@@ -35,3 +35,22 @@ def test_query_equals_sql(spark, name):
         return sorted(repr([show(r[i]) for i in order]) for r in data)
 
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(relation.columns, relation.fetchall())
+
+
+def odd_documents(tmp_path, rows):
+    """A folder with documents (doc_id, text, source) and a connection that sees them."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', ?)", rows)
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    return con
+
+
+def test_sentences_of_odd_documents(spark, tmp_path):
+    """No text, no line, a number twice, no source, more characters than JSON readers take by default."""
+    rows = [(1, None, "s"), (2, "", "s"), (3, "\n", "s"), (4, "a\n\nb\r\n", None), (8, "x\ny\nz", "s"), (8, "x\ny", "s"), (8, None, "s"), (8, "x", "t"), (9, "", None), (10, "q" * 20_000_001 + "\nr", "s")]
+    con = odd_documents(tmp_path, rows)
+    for name in ("jsonl_sentences", "jsonl_doc"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.sql(ORACLES[name])
+        assert sorted(map(repr, map(tuple, got.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))

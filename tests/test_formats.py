@@ -86,6 +86,14 @@ def test_jsonl(spark, tmp_path):
     assert json.loads(sentences.document_json(df, extra=True).first()["line"]) == {"location": "l", "date": None, "content": "é\n", "extra_meta": ["t"]}
 
 
+def test_long_json_strings(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    long = "q" * 20_000_001
+    p.write_text("\n".join(json.dumps({"location": "l", "date": "d", k: v}) for k, v in (("content", long), ("sentences", [long, "r"]))))
+    assert [len(r["content"]) for r in sentences.read_document_jsonl(spark, str(p)).collect()] == [len(long)]
+    assert [[len(s) for s in r["sentences"]] for r in sentences.read_sentence_jsonl(spark, str(p)).collect()] == [[len(long), 1]]
+
+
 def record(kind, body, extra=""):
     return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{extra}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
