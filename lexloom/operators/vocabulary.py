@@ -17,6 +17,10 @@ NULL_TEXT = "NULL"
 NO_MINUTE = -100
 #: Rows up to which a lookup table is broadcast.
 BROADCAST_ROWS = 500_000
+#: Words with the lowest numbers that are looked up by a broadcast in any case.
+FREQUENT_WORDS = 100_000
+#: Text of sentences whose words are looked up together.
+BLOCK_BYTES = 4_000_000
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -85,16 +89,104 @@ def date_minutes(date: Column) -> Column:
     return F.coalesce(F.floor(F.unix_seconds(F.try_to_timestamp(date)) / 60).cast("int"), F.lit(NO_MINUTE))
 
 
+def _pieces(batches, column: str, limit: int):
+    """Record batches of about ``limit`` bytes of a text column each, made of such of any size."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64") + 16)
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + limit - size, "right")))
+            held.append(batch.slice(at, stop - at))
+            size, at = size + int(ends[stop - 1]) - done, stop
+            if size >= limit or at < batch.num_rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _coded(df: DataFrame, column: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``df`` with block, codes and words instead of the text: blocks have about ``limit`` bytes of
+    text; the first row of each has its different tokens, and codes are places among them."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for n, batch in enumerate(_pieces(batches, column, limit)):
+            tokens = pc.split_pattern(batch.column(column), " ")
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0).cast("int32"))
+            coded = tokens.flatten().dictionary_encode()
+            start = pa.array([0], "int32")
+            codes = pa.ListArray.from_arrays(pa.concat_arrays([start, ends]), coded.indices)
+            words = pa.ListArray.from_arrays(pa.array([0] + [len(coded.dictionary)] * len(batch), "int32"), coded.dictionary.cast("string"))
+            rest = [c for c in batch.schema.names if c != column]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.repeat(pa.scalar(first + n, "int64"), len(batch)), codes, words], [*rest, "block", "codes", "words"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != column)
+    return df.mapInArrow(run, f"{fields}block bigint, codes array<int>, words array<string>")
+
+
+def _looked_up(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (block, codes) with w instead: the numbers of its codes in ``ids`` (of_block, code, id)."""
+    rest = [c for c in rows.columns if c not in ("block", "codes")]
+
+    def run(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = lambda table, name: pa.concat_arrays(table.column(name).chunks)
+        codes = whole(left, "codes")
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(codes), 0).cast("int32"))
+        found = whole(right.sort_by("code"), "id").take(codes.flatten()) if right.num_rows else pa.array([], "int64")
+        w = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], "int32"), ends]), found)
+        return pa.table({**{c: left.column(c) for c in rest}, "w": w})
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in rest)
+    return rows.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(run, f"{fields}w array<bigint>")
+
+
 def sentence_index(sentences: DataFrame, words: DataFrame, sources: DataFrame, key: str = "sent_id", column: str = "tokenized", number: str = "word_nr") -> DataFrame:
     """sent_id, source_id, ts_min, word_ids: the numbers of a sentence's words in order.
 
-    Words without number are left out; so are sentences whose source has none."""
+    Words without number are left out; so are sentences whose source has none. A word has one number.
+    Rows with one key all have the words of all of them, by place.
+
+    Tokens never move one by one: of a block of sentences its different words alone meet the numbers,
+    and come back to it to be looked up by code."""
     null = F.lit(NULL_TEXT)
-    base = sentences.select(key, F.coalesce("location", null).alias("source"), F.coalesce("date", null).alias("date"), F.col(column).alias("__t"))
-    tokens = base.select(key, F.posexplode(F.split("__t", " ")).alias("pos", "word")).where("word != ''")
-    ids = lookup(tokens, words.select("word", F.col(number).alias("id")), ["word"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("w"))
-    heads = lookup(base, sources.select("source_id", "source", "date"), ["source", "date"]).select(key, "source_id", date_minutes(F.col("date")).alias("ts_min"))
-    return heads.join(ids, key, "left").select(key, "source_id", "ts_min", F.coalesce(F.transform("w", lambda x: x["id"]), F.array().cast("array<bigint>")).alias("word_ids"))
+    base = sentences.select(F.col(key).alias("key"), F.coalesce("location", null).alias("source"), F.coalesce("date", null).alias("date"), F.col(column).alias("__t"))
+    heads = lookup(base, sources.select("source_id", "source", "date"), ["source", "date"], "left").select("key", "source_id", date_minutes(F.col("date")).alias("ts_min"), "__t")
+    coded = written(_coded(heads, "__t"), "coded")
+    pairs = coded.select(F.col("block").alias("of_block"), F.posexplode("words").alias("code", "word"))
+    numbers = words.where("word != ''").select("word", F.col(number).cast("bigint").alias("id"))
+    # words with low numbers are frequent ones, in most blocks: they are broadcast, at most 6 MB
+    frequent = written(numbers.where(F.octet_length("word") <= 64).orderBy("id").limit(FREQUENT_WORDS).coalesce(1), "frequent")
+    rare = pairs.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(numbers, "word", "left")
+    both = pairs.join(F.broadcast(frequent), "word").unionByName(rare).select("of_block", "code", "id")
+    each = _looked_up(coded.drop("words"), both)
+
+    def done(rows: DataFrame, w: Column) -> DataFrame:
+        return rows.where("source_id is not null").select(F.col("key").alias(key), "source_id", "ts_min", w.alias("word_ids"))
+
+    own = done(each, F.when(F.col("key").isNull(), F.array().cast("array<bigint>")).otherwise(F.filter("w", lambda x: x.isNotNull())))
+    repeated = coded.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    if repeated.isEmpty():
+        return own
+    repeated = written(repeated, "repeated")
+    again = lookup(each, repeated, ["key"])
+    placed = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("id"))), lambda p: p["id"].isNotNull())
+    merged = again.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("all"))
+    several = done(again.drop("w").join(merged, "key"), F.transform("all", lambda p: p["id"]))
+    return lookup(own, repeated.withColumnRenamed("key", key), [key], "left_anti").unionByName(several)
 
 
 def encode_index_row(sent_id: int, source_id: int, minute: int, word_ids: list[int], units: list[tuple[list[int], int]] = ()) -> bytes:

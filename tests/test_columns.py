@@ -152,6 +152,48 @@ def test_numbers(spark, tmp_path):
     assert len(vocabulary.encode_index_row(1, 2, 3, [4, 5], [([0, 1], 7)])) == 4 * 12
 
 
+def test_index_of_odd_sentences(spark, monkeypatch):
+    """Blocks of few rows; a key twice, no key, no text, words and sources without number, no words at all."""
+    monkeypatch.setattr(vocabulary, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(vocabulary, "FREQUENT_WORDS", 1)
+    rows = [(1, "a b  a", "s", "2024-01-02"), (2, "", "s", "2024-01-02"), (3, None, None, None), (4, "x y", "none", None), (5, "b a q", "s", "2024-01-02"), (5, "a c b a", "s", "bad"), (5, "c", "none", None), (None, "a", "s", "bad")]
+    rows += [(i, "c b", "s", "2024-01-02") for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "sent_id long, tokenized string, location string, date string").coalesce(1)
+    words = spark.createDataFrame([(7, "a"), (2**40, "b"), (9, "c"), (1, "")], "word_nr long, word string")
+    sources = spark.createDataFrame([(1, "s", "2024-01-02"), (2, "NULL", "NULL"), (3, "s", "bad")], "source_id long, source string, date string")
+    got = vocabulary.sentence_index(df, words, sources)
+    assert got.columns == ["sent_id", "source_id", "ts_min", "word_ids"]
+    day, b = 28402560, 2**40
+    five = tuple(n for _, n in sorted([(0, b), (1, 7), (0, 7), (1, 9), (2, b), (3, 7), (0, 9)]))
+    want = {(1, 1, day, (7, b, 7)), (2, 1, day, ()), (3, 2, -100, ()), (5, 1, day, five), (5, 3, -100, five), (None, 3, -100, ())} | {(i, 1, day, (9, b)) for i in range(10, 20)}
+    found = [(r["sent_id"], r["source_id"], r["ts_min"], tuple(r["word_ids"])) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def shuffled_rows(spark) -> int:
+    """Rows that all stages of the session so far have written to shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_index_of_many_words_moves_no_tokens(spark, monkeypatch):
+    """Also if the words are too many to be broadcast."""
+    monkeypatch.setattr(vocabulary, "BROADCAST_ROWS", 0)
+    df = spark.range(2000).select(F.col("id").alias("sent_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("w"), (F.col("id") + i) % 100)), " ").alias("tokenized"), F.lit("s").alias("location"), F.lit("2024-01-02").alias("date"))
+    words = spark.range(100).select(F.col("id").alias("word_nr"), F.concat(F.lit("w"), F.col("id")).alias("word"))
+    sources = spark.createDataFrame([(1, "s", "2024-01-02")], "source_id long, source string, date string")
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = vocabulary.sentence_index(df, words, sources).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 2000 and all(r["word_ids"] == [(r["sent_id"] + i) % 100 for i in range(50)] for r in rows)
+    assert shuffled_rows(spark) - before < 20_000  # of 100,000 tokens
+
+
 def test_units(spark):
     units = spark.createDataFrame([("new york", "New York"), ("york city", "York City")], "unit_tok string, unit string")
     df = spark.createDataFrame([(1, "in new york city"), (2, "new york"), (3, "york")], "id int, tokenized string")
