@@ -110,3 +110,30 @@ def test_windowed_rejections(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "kurz."), ("2024-01-01 00:50:00", "auch."), ("2024-01-01 01:10:00", "nein.")], "t string, sentence string").withColumn("t", F.to_timestamp("t"))
     rows = streams.rejections_by_window(df, cleaner.load_rules(), "t").collect()
     assert sorted(r["hits"] for r in rows) == [1, 2]
+
+
+def test_a_batch_is_made_piece_by_piece(spark):
+    """What Python holds at a time doesn't grow with the batch."""
+
+    class Made(list):
+        alive = most = 0
+
+        def __init__(self, *a):
+            super().__init__(*a)
+            Made.alive += 1
+            Made.most = max(Made.most, Made.alive)
+
+        def __del__(self):
+            Made.alive -= 1
+
+    df = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("content"))
+    most = segmenter.text_function(lambda t: Made([str(len(t)), str(Made.most)]), "array<string>")
+    rows = df.select(most(F.col("content")).alias("s")).collect()
+    assert len(rows) == 4000 and {r["s"][0] for r in rows} == {"1000"}
+    assert max(int(r["s"][1]) for r in rows) <= 1002
+
+
+def test_exploded_sentences_are_made_once(spark):
+    df = spark.createDataFrame([(1, "A b. C d.")], "i int, content string")
+    rows = segmenter.sentence_rows(segmenter.segment(df, DEFAULT).select("i", "sentences"))
+    assert str(rows._jdf.queryExecution().executedPlan().toString()).count("ArrowEvalPython") == 1 and rows.count() > 0
